@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -91,3 +91,12 @@ for _s in (ALL, DAY, NIGHT, TWILIGHT, SUN, RAIN, CLOUD, SNOW, DAY * (RAIN + SUN)
 for _tod in (DAY, NIGHT, TWILIGHT):
     for _sky in (SUN, RAIN, CLOUD, SNOW):
         register_scenario(_tod * _sky)
+
+
+def scenario_counts(samples: DataFrame) -> DataFrame:
+    """(scenario, samples) for every registered scenario, zero counts included, in one pass."""
+    counts = samples.agg(*[F.count_if(s.predicate()).alias(f"c{i}") for i, s in enumerate(SCENARIOS.values())])
+    rows = [
+        F.struct(F.lit(name).alias("scenario"), F.col(f"c{i}").alias("samples")) for i, name in enumerate(SCENARIOS)
+    ]
+    return counts.select(F.inline(F.array(*rows)))

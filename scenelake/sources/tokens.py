@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scenelake.functions.pose import pose_matrix  # noqa: F401  (re-exported for ingest scripts)
+from scenelake.functions.pose import pose_matrix
 from scenelake.functions.taxonomy import NUSCENES
 from scenelake.operators.geometry import box_to_ego, move_cloud
 from scenelake.plans.ordered import ranked
