@@ -7,14 +7,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from scenelake.functions import taxonomy
 from scenelake.plans.ordered import ordered_index
 
-LABEL_DIM = T.StructType.fromDDL(
-    "name STRING, id INT, category STRING, cat_id INT, color ARRAY<DOUBLE>"
-)
+LABEL_DIM = "name STRING, id INT, category STRING, cat_id INT, color ARRAY<DOUBLE>"
 
 
 def source_maps(spark: SparkSession) -> dict[str, DataFrame]:

@@ -6,106 +6,40 @@ from pyspark.sql import types as T
 
 from scenelake.plans.catalog import ForeignKey
 
-_D = T.ArrayType(T.DoubleType())
-_XYZ = T.ArrayType(
-    T.StructType(
-        [T.StructField(axis, T.FloatType()) for axis in ("x", "y", "z")]
-    )
+_XYZ = "ARRAY<STRUCT<x: FLOAT, y: FLOAT, z: FLOAT>>"
+_FLOATS2D = "ARRAY<ARRAY<FLOAT>>"
+_POSE = "STRUCT<rotation: ARRAY<DOUBLE>, translation: ARRAY<DOUBLE>>"
+_BOX = "x: DOUBLE, y: DOUBLE, z: DOUBLE, length: DOUBLE, width: DOUBLE, height: DOUBLE, yaw: DOUBLE"
+_SCORES = "iou FLOAT, ece FLOAT, model STRING"
+
+CAMERA_BOX = f"ARRAY<STRUCT<{_BOX}, label: STRING>>"
+LIDAR_BOX = f"ARRAY<STRUCT<{_BOX}, rotation: ARRAY<DOUBLE>, points_in_box: BIGINT, label: STRING>>"
+CAMERA_PARAMETERS = (
+    "STRUCT<type: STRING, intrinsic: ARRAY<ARRAY<DOUBLE>>, rotation: ARRAY<DOUBLE>, translation: ARRAY<DOUBLE>, "
+    "resolution: STRUCT<width: INT, height: INT>, distortion: ARRAY<DOUBLE>>"
 )
-_FLOATS2D = T.ArrayType(T.ArrayType(T.FloatType()))
-_IDS = T.ArrayType(T.ShortType())
-POSE = T.StructType([T.StructField("rotation", _D), T.StructField("translation", _D)])
-
-
-def _struct(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
-
-
-CAMERA_PARAMETERS = _struct(
-    "type STRING, intrinsic ARRAY<ARRAY<DOUBLE>>, rotation ARRAY<DOUBLE>, translation ARRAY<DOUBLE>, "
-    "resolution STRUCT<width: INT, height: INT>, distortion ARRAY<DOUBLE>"
-)
-LIDAR_PARAMETERS = _struct("type STRING, rotation ARRAY<DOUBLE>, translation ARRAY<DOUBLE>")
-CAMERA_BOX = T.ArrayType(
-    _struct(
-        "x DOUBLE, y DOUBLE, z DOUBLE, length DOUBLE, width DOUBLE, height DOUBLE, yaw DOUBLE, label STRING"
-    )
-)
-LIDAR_BOX = T.ArrayType(
-    _struct(
-        "x DOUBLE, y DOUBLE, z DOUBLE, length DOUBLE, width DOUBLE, height DOUBLE, yaw DOUBLE, "
-        "rotation ARRAY<DOUBLE>, points_in_box BIGINT, label STRING"
-    )
-)
-
-
-def _table(*fields: tuple) -> T.StructType:
-    return T.StructType([T.StructField(name, dtype, nullable) for name, dtype, nullable in fields])
-
-
-_L, _S, _B, _F = T.LongType(), T.StringType(), T.BinaryType(), T.FloatType()
-
-TABLES: dict[str, T.StructType] = {
-    "weather": _table(
-        ("weather_uid", _L, False),
-        ("time", T.TimestampType(), False),
-        ("weather", _S, False),
-        ("location", _S, False),
-        ("tod", _S, False),
-        ("split", _S, False),
-        ("dataset", _S, False),
-        ("custom", _S, True),
-    ),
-    "camera": _table(
-        ("camera_uid", _L, False),
-        ("weather_uid", _L, False),
-        ("camera_id", _S, False),
-        ("image", _B, False),
-        ("semantic_labels", _B, True),
-        ("instance_labels", _B, True),
-        ("panoptic_labels", _B, True),
-        ("camera_parameters", CAMERA_PARAMETERS, True),
-        ("camera_vehicle_pose", POSE, True),
-    ),
-    "lidar": _table(
-        ("lidar_uid", _L, False),
-        ("weather_uid", _L, False),
-        ("lidar_id", _S, False),
-        ("points", _XYZ, False),
-        ("points_downsampled", _XYZ, True),
-        ("features", _FLOATS2D, True),
-        ("features_downsampled", _FLOATS2D, True),
-        ("lidar_parameters", LIDAR_PARAMETERS, True),
-        ("lidar_vehicle_pose", POSE, True),
-    ),
-    "camera_segmentation": _table(
-        ("camera_uid", _L, False),
-        ("camera_segmentation", _struct("height INT, width INT, labels ARRAY<SMALLINT>"), True),
-    ),
-    "lidar_segmentation": _table(
-        ("lidar_uid", _L, False),
-        ("lidar_segmentation", _IDS, True),
-        ("lidar_segmentation_downsampled", _IDS, True),
-    ),
-    "camera_box": _table(("camera_uid", _L, False), ("camera_box", CAMERA_BOX, True)),
-    "lidar_box": _table(("lidar_uid", _L, False), ("lidar_box", LIDAR_BOX, True)),
-    "results_camera_segmentation": _table(
-        ("camera_uid", _L, False),
-        ("prediction", _FLOATS2D, True),
-        ("iou", _F, True),
-        ("ece", _F, True),
-        ("model", _S, True),
-    ),
-    "results_lidar_segmentation": _table(
-        ("lidar_uid", _L, False),
-        ("prediction", _FLOATS2D, True),
-        ("prediction_downsampled", _FLOATS2D, True),
-        ("iou", _F, True),
-        ("iou_downsampled", _F, True),
-        ("ece", _F, True),
-        ("ece_downsampled", _F, True),
-        ("model", _S, True),
-    ),
+LIDAR_PARAMETERS = "STRUCT<type: STRING, rotation: ARRAY<DOUBLE>, translation: ARRAY<DOUBLE>>"
+
+# Column definitions, as CREATE TABLE and the readers take them.
+TABLES: dict[str, str] = {
+    "weather": "weather_uid BIGINT NOT NULL, time TIMESTAMP NOT NULL, weather STRING NOT NULL, "
+    "location STRING NOT NULL, tod STRING NOT NULL, split STRING NOT NULL, dataset STRING NOT NULL, custom STRING",
+    "camera": "camera_uid BIGINT NOT NULL, weather_uid BIGINT NOT NULL, camera_id STRING NOT NULL, "
+    "image BINARY NOT NULL, semantic_labels BINARY, instance_labels BINARY, panoptic_labels BINARY, "
+    f"camera_parameters {CAMERA_PARAMETERS}, camera_vehicle_pose {_POSE}",
+    "lidar": "lidar_uid BIGINT NOT NULL, weather_uid BIGINT NOT NULL, lidar_id STRING NOT NULL, "
+    f"points {_XYZ} NOT NULL, points_downsampled {_XYZ}, features {_FLOATS2D}, features_downsampled {_FLOATS2D}, "
+    f"lidar_parameters {LIDAR_PARAMETERS}, lidar_vehicle_pose {_POSE}",
+    "camera_segmentation": "camera_uid BIGINT NOT NULL, "
+    "camera_segmentation STRUCT<height: INT, width: INT, labels: ARRAY<SMALLINT>>",
+    "lidar_segmentation": "lidar_uid BIGINT NOT NULL, lidar_segmentation ARRAY<SMALLINT>, "
+    "lidar_segmentation_downsampled ARRAY<SMALLINT>",
+    "camera_box": f"camera_uid BIGINT NOT NULL, camera_box {CAMERA_BOX}",
+    "lidar_box": f"lidar_uid BIGINT NOT NULL, lidar_box {LIDAR_BOX}",
+    "results_camera_segmentation": f"camera_uid BIGINT NOT NULL, prediction {_FLOATS2D}, {_SCORES}",
+    "results_lidar_segmentation": f"lidar_uid BIGINT NOT NULL, prediction {_FLOATS2D}, "
+    f"prediction_downsampled {_FLOATS2D}, iou FLOAT, iou_downsampled FLOAT, ece FLOAT, ece_downsampled FLOAT, "
+    "model STRING",
 }
 
 # Surrogate key of each table.
@@ -121,7 +55,7 @@ KEYS: dict[str, tuple[str, ...]] = {
     "results_lidar_segmentation": ("lidar_uid",),
 }
 
-# Natural key an upsert matches on.
+# Natural key an upsert matches on, unique per table.
 NATURAL_KEYS: dict[str, tuple[str, ...]] = {
     "weather": ("time", "location"),
     "camera": ("weather_uid", "camera_id"),
@@ -143,3 +77,8 @@ FOREIGN_KEYS: tuple[ForeignKey, ...] = (
     _fk("lidar_box", "lidar", "lidar_uid"),
     _fk("results_lidar_segmentation", "lidar", "lidar_uid"),
 )
+
+
+def table_schema(table: str) -> T.StructType:
+    """Schema of a scene table; needs an active Spark session."""
+    return T.StructType.fromDDL(TABLES[table])

@@ -19,7 +19,9 @@ from pyspark.sql import types as T
 
 from scenelake.operators.clouds import normalize_classes
 
-_FLAT = "shape ARRAY<INT>, data ARRAY<FLOAT>"
+_FLAT = T.StructType(
+    [T.StructField("shape", T.ArrayType(T.IntegerType())), T.StructField("data", T.ArrayType(T.FloatType()))]
+)
 
 
 def _unfilter(rows: np.ndarray, filters: np.ndarray) -> np.ndarray:
@@ -75,7 +77,7 @@ def _decode_probs(data: bytes) -> np.ndarray:
 
 
 def _flattener(decode: Callable[[bytes], np.ndarray]) -> Callable[[Column], Column]:
-    @F.pandas_udf(T.StructType.fromDDL(_FLAT))
+    @F.pandas_udf(_FLAT)
     def flat(payloads: pd.Series) -> pd.DataFrame:
         arrays = [None if b is None else decode(b) for b in payloads]
         return pd.DataFrame(

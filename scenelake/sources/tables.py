@@ -15,18 +15,11 @@ def _name(table: str, database: str | None) -> str:
     return f"{database}.{table}" if database else table
 
 
-def _columns(table: str) -> str:
-    return ", ".join(
-        f"{f.name} {f.dataType.simpleString()}" + ("" if f.nullable else " NOT NULL")
-        for f in schemas.TABLES[table].fields
-    )
-
-
 def create_tables(spark: SparkSession, database: str | None = None, root: str | None = None) -> None:
     """Create the scene tables that do not exist yet."""
     for table in schemas.TABLES:
         at = f" LOCATION '{root.rstrip('/')}/{table}/empty'" if root else ""
-        spark.sql(f"CREATE TABLE IF NOT EXISTS {_name(table, database)} ({_columns(table)}) USING parquet{at}")
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {_name(table, database)} ({schemas.TABLES[table]}) USING parquet{at}")
 
 
 def drop_tables(spark: SparkSession, database: str | None = None) -> None:
