@@ -1,6 +1,6 @@
 """Registered queries: the library's operators over the given tables, each with its SQL twin."""
 
 from workload.registry import ORACLES, QUERIES
-from workload import joins, requests  # noqa: F401,E402
+from workload import joins, labels, requests, scalars, writes  # noqa: F401,E402
 
 __all__ = ["ORACLES", "QUERIES"]
