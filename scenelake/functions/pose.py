@@ -1,7 +1,9 @@
 """Rigid motions as column expressions.
 
 A point is a tuple of three columns, a quaternion an array (w, x, y, z), a 3x3
-or 4x4 matrix an array of 9 or 16 doubles in row order.
+or 4x4 matrix an array of 9 or 16 doubles in row order. Every cell of a matrix
+is read several times, so pass matrices as columns of the row, not as nested
+expressions.
 """
 
 from __future__ import annotations
@@ -21,11 +23,11 @@ def xyz(point: Column) -> Point:
     return tuple(point[axis].cast("double") for axis in "xyz")
 
 
-def rotation_matrix(q: Column) -> Column:
-    """Rotation of a quaternion, which need not be normalised."""
+def rotation_cells(q: Column) -> list[Column]:
+    """The nine cells of a quaternion's rotation; it need not be normalised."""
     w, x, y, z = q[0], q[1], q[2], q[3]
     s = F.lit(2.0) / (w * w + x * x + y * y + z * z)
-    return F.array(
+    return [
         F.lit(1.0) - s * (y * y + z * z),
         s * (x * y - w * z),
         s * (x * z + w * y),
@@ -35,7 +37,11 @@ def rotation_matrix(q: Column) -> Column:
         s * (x * z - w * y),
         s * (y * z + w * x),
         F.lit(1.0) - s * (x * x + y * y),
-    )
+    ]
+
+
+def rotation_matrix(q: Column) -> Column:
+    return F.array(*rotation_cells(q))
 
 
 def yaw_quaternion(yaw: Column) -> Column:
@@ -83,7 +89,7 @@ def translation_of(pose: Column) -> Column:
 
 def pose_matrix(rotation: Column, translation: Column, inverse: bool = False) -> Column:
     """4x4 matrix of a quaternion and translation, or of the opposite motion."""
-    r = rotation_matrix(rotation)
+    r = rotation_cells(rotation)
     t = vector(translation)
     if inverse:
         rows = [(r[i], r[i + 3], r[i + 6]) for i in range(3)]
@@ -111,12 +117,12 @@ def move(m: Column, p: Point) -> Point:
     return tuple(m[4 * i] * p[0] + m[4 * i + 1] * p[1] + m[4 * i + 2] * p[2] + m[4 * i + 3] for i in range(3))
 
 
-def rotate(p: Point, r: Column) -> Point:
+def rotate(p: Point, r: Column | list[Column]) -> Point:
     """Row vector times 3x3 matrix, that is the inverse rotation."""
     return tuple(p[0] * r[i] + p[1] * r[3 + i] + p[2] * r[6 + i] for i in range(3))
 
 
-def rotate_columns(r: Column, p: Point) -> Point:
+def rotate_columns(r: Column | list[Column], p: Point) -> Point:
     """3x3 matrix times column vector."""
     return tuple(r[3 * i] * p[0] + r[3 * i + 1] * p[1] + r[3 * i + 2] * p[2] for i in range(3))
 
@@ -127,7 +133,7 @@ def translate(p: Point, t: Point) -> Point:
 
 def lidar_to_ego(p: Point, rotation: Column, translation: Column, mode: str = "rigid") -> Point:
     """Sensor to vehicle. ``as_coded`` applies the inverse rotation and subtracts the translation."""
-    r, t = rotation_matrix(rotation), vector(translation)
+    r, t = rotation_cells(rotation), vector(translation)
     if mode == "rigid":
         return translate(rotate_columns(r, p), t)
     if mode == "as_coded":
@@ -135,14 +141,6 @@ def lidar_to_ego(p: Point, rotation: Column, translation: Column, mode: str = "r
     raise ValueError(f"unknown mode {mode!r}")
 
 
-def lidar_to_camera_matrix(lidar_pose: Column, camera_pose: Column, camera: Column) -> Column:
-    """Lidar frame to world, to the vehicle at camera time, to the camera; structs of rotation, translation."""
-    to_world = pose_matrix(lidar_pose["rotation"], lidar_pose["translation"])
-    to_vehicle = pose_matrix(camera_pose["rotation"], camera_pose["translation"], inverse=True)
-    to_camera = pose_matrix(camera["rotation"], camera["translation"], inverse=True)
-    return matrix_product(to_camera, matrix_product(to_vehicle, to_world))
-
-
 def projection_matrix(intrinsic: Column, rows: int = 3, cols: int = 3) -> Column:
     """Nested intrinsic matrix, up to 4x4, padded to 4x4 with the identity."""
     if rows > 4 or cols > 4:

@@ -46,7 +46,10 @@ def points_to_ego(points: DataFrame, rotation: Column, translation: Column, mode
 
 
 def move_cloud(points: Column, matrix: Column) -> Column:
-    """Move a whole cloud inside its row, for results stored as clouds again."""
+    """Move a whole cloud inside its row, for results stored as clouds again.
+
+    ``matrix`` should be a plain column: it is read for every point.
+    """
 
     def one(p: Column) -> Column:
         return F.struct(*[c.cast("float").alias(a) for a, c in zip("xyz", P.move(matrix, P.xyz(p)))])
@@ -59,18 +62,28 @@ def camera_pairs(lidar: DataFrame, camera: DataFrame) -> DataFrame:
 
     Only keys and calibrations meet here; the clouds are joined afterwards.
     """
-    sweeps = lidar.select("weather_uid", "lidar_uid", "lidar_vehicle_pose")
-    cameras = camera.select("weather_uid", "camera_uid", "camera_parameters", "camera_vehicle_pose")
-    parameters = F.col("camera_parameters")
+    to_world = P.pose_matrix(F.col("lidar_vehicle_pose.rotation"), F.col("lidar_vehicle_pose.translation"))
+    sweeps = lidar.select("weather_uid", "lidar_uid", to_world.alias("to_world"))
+
+    def inverse(pose: str) -> Column:
+        return P.pose_matrix(F.col(f"{pose}.rotation"), F.col(f"{pose}.translation"), inverse=True)
+
+    cameras = camera.select(
+        "weather_uid",
+        "camera_uid",
+        inverse("camera_vehicle_pose").alias("to_vehicle"),
+        inverse("camera_parameters").alias("to_camera"),
+        P.projection_matrix(F.col("camera_parameters.intrinsic")).alias("projection"),
+        F.col("camera_parameters.resolution.width").alias("width"),
+        F.col("camera_parameters.resolution.height").alias("height"),
+    ).withColumn("from_world", P.matrix_product(F.col("to_camera"), F.col("to_vehicle")))
     return sweeps.join(cameras, "weather_uid").select(
         "lidar_uid",
         "camera_uid",
-        P.lidar_to_camera_matrix(F.col("lidar_vehicle_pose"), F.col("camera_vehicle_pose"), parameters).alias(
-            "matrix"
-        ),
-        P.projection_matrix(parameters["intrinsic"]).alias("projection"),
-        parameters["resolution"]["width"].alias("width"),
-        parameters["resolution"]["height"].alias("height"),
+        P.matrix_product(F.col("from_world"), F.col("to_world")).alias("matrix"),
+        "projection",
+        "width",
+        "height",
     )
 
 
@@ -111,7 +124,7 @@ def box_corners(boxes: DataFrame, *keep: str) -> DataFrame:
 def box_to_ego(box: Column, rotation: Column, translation: Column) -> Column:
     """Sensor-frame box struct with its center and orientation in the vehicle frame."""
     center = P.translate(
-        P.rotate_columns(P.rotation_matrix(rotation), (box["x"], box["y"], box["z"])), P.vector(translation)
+        P.rotate_columns(P.rotation_cells(rotation), (box["x"], box["y"], box["z"])), P.vector(translation)
     )
     turned = P.quaternion_product(rotation, box["rotation"])
     return box.withField("x", center[0]).withField("y", center[1]).withField("z", center[2]).withField(

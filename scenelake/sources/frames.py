@@ -63,9 +63,12 @@ def image_rows(frames: DataFrame, ids: dict[str, int]) -> DataFrame:
         "camera_labels",
         "camera_calibrations",
         F.explode("images").alias("im"),
+    ).select(
+        "*",
+        _own(F.col("camera_calibrations"), F.col("im.name")).alias("mount"),
+        _own(F.col("camera_labels"), F.col("im.name")).alias("own_labels"),
     )
-    name = F.col("im.name")
-    mount, labels = _own(F.col("camera_calibrations"), name), _own(F.col("camera_labels"), name)
+    mount, labels = F.col("mount"), F.col("own_labels")
     boxes = F.transform(
         F.coalesce(labels["labels"], F.array()),
         lambda b: F.struct(b["x"], b["y"], b["length"], b["width"], _box_name(b["type"]).alias("label")),
@@ -83,7 +86,7 @@ def image_rows(frames: DataFrame, ids: dict[str, int]) -> DataFrame:
     return rows.select(
         "time",
         "location",
-        F.concat(F.lit("waymo_"), name.cast("string")).alias("camera_id"),
+        F.concat(F.lit("waymo_"), F.col("im.name").cast("string")).alias("camera_id"),
         F.col("im.image").alias("image"),
         F.when(mount.isNotNull(), parameters).alias("camera_parameters"),
         _pose(F.col("pose")).alias("camera_vehicle_pose"),
@@ -105,11 +108,15 @@ def lidar_rows(frames: DataFrame, ids: dict[str, int]) -> DataFrame:
         "laser_labels",
         "laser_calibrations",
         F.explode("lasers").alias("las"),
-    ).withColumn("lidar_id", F.concat(F.lit("waymo_"), F.col("las.name").cast("string")))
-    raw = valid_returns(F.col("las.ranges"), F.col("las.labels"))
+    ).select(
+        "*",
+        F.concat(F.lit("waymo_"), F.col("las.name").cast("string")).alias("lidar_id"),
+        _own(F.col("laser_calibrations"), F.col("las.name")).alias("mount"),
+        valid_returns(F.col("las.ranges"), F.col("las.labels")).alias("raw"),
+    )
+    raw, mount = F.col("raw"), F.col("mount")
     labelled = F.exists(raw, lambda x: x != 0)
     pairs = {i: ids[unified] for i, (_, unified) in enumerate(WAYMO_LIDAR)}
-    mount = _own(F.col("laser_calibrations"), F.col("las.name"))
     parameters = F.struct(
         F.lit("waymo").alias("type"),
         quaternion_of(mount["extrinsic"], 4).alias("rotation"),

@@ -158,9 +158,11 @@ def lidar_rows(frames: DataFrame, dataset: str) -> DataFrame:
     )
 
 
-def cloud_to_ego(points: Column, rotation: Column, translation: Column) -> Column:
-    """Sensor-frame cloud in the vehicle frame."""
-    return move_cloud(points, pose_matrix(rotation, translation))
+def cloud_to_ego(sweeps: DataFrame, points: str = "points", mount: str = "lidar_parameters") -> DataFrame:
+    """Sweeps with their sensor-frame clouds moved to the vehicle frame."""
+    matrix = pose_matrix(F.col(f"{mount}.rotation"), F.col(f"{mount}.translation"))
+    moved = sweeps.withColumn("_mount", matrix)
+    return moved.withColumn(points, move_cloud(F.col(points), F.col("_mount"))).drop("_mount")
 
 
 def unified_boxes(boxes: Column, rotation: Column | None = None, translation: Column | None = None) -> Column:
