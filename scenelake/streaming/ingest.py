@@ -9,9 +9,16 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 
-def watch(spark: SparkSession, schema: T.StructType | str, path: str, archive: str | None = None, fmt: str = "parquet") -> DataFrame:
+def watch(
+    spark: SparkSession,
+    schema: T.StructType | str,
+    path: str,
+    pattern: str = "*",
+    archive: str | None = None,
+    fmt: str = "parquet",
+) -> DataFrame:
     """Stream of the files arriving in ``path``; consumed files move to ``archive`` when given."""
-    reader = spark.readStream.format(fmt).schema(schema)
+    reader = spark.readStream.format(fmt).schema(schema).option("pathGlobFilter", pattern)
     if archive:
         reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
     return reader.load(path)
@@ -29,3 +36,15 @@ def into_batches(stream: DataFrame, apply: Callable[[DataFrame], None], checkpoi
     """Run ``apply`` on every micro-batch. It must be idempotent by key: a batch may be repeated."""
     writer = stream.writeStream.foreachBatch(lambda batch, _: apply(batch)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def append_available(stream: DataFrame, output: str, checkpoint: str) -> None:
+    """Process what has arrived so far into Parquet files below ``output``."""
+    query = (
+        stream.writeStream.format("parquet")
+        .outputMode("append")
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start(output)
+    )
+    query.awaitTermination()
