@@ -153,12 +153,14 @@ def _farthest(points: np.ndarray, n: int) -> np.ndarray:
     return np.sort(picked)
 
 
-def farthest_points(df: DataFrame, npts: int = SAMPLE_POINTS, points: str = "points", keep: Sequence[str] = ()) -> DataFrame:
+def farthest_points(
+    df: DataFrame, npts: int = SAMPLE_POINTS, points: str = "points", keep: Sequence[str] = ()
+) -> DataFrame:
     """(keep, picked): indices of ``npts`` points spread over each cloud.
 
     Works on one cloud per row, so no grouping and no shuffle; a cloud of at
     most ``npts`` points is kept whole. Labels and features follow by index,
-    see ``take``.
+    see ``take``. Arrow batches are bounded in bytes, not only in rows.
     """
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,10 +173,8 @@ def farthest_points(df: DataFrame, npts: int = SAMPLE_POINTS, points: str = "poi
             picked = pa.array(picks, pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keep], picked], [*keep, "picked"])
 
-    schema = T.StructType(
-        [df.schema[k] for k in keep] + [T.StructField("picked", T.ArrayType(T.IntegerType()))]
-    )
-    return df.select(*keep, points).mapInArrow(sample, schema)
+    schema = T.StructType([df.schema[k] for k in keep] + [T.StructField("picked", T.ArrayType(T.IntegerType()))])
+    return df.select(*dict.fromkeys([*keep, points])).mapInArrow(sample, schema)
 
 
 def take(values: Column, picked: Column) -> Column:
@@ -182,10 +182,8 @@ def take(values: Column, picked: Column) -> Column:
     return F.transform(picked, lambda i: F.get(values, i))
 
 
-def downsample(lidar: DataFrame, npts: int = SAMPLE_POINTS, aligned: Sequence[str] = (), uid: str = "lidar_uid") -> DataFrame:
-    """``<column>_downsampled`` for the points and every column aligned with them."""
-    picks = farthest_points(lidar, npts, keep=[uid])
-    return lidar.join(picks, uid).select(
-        *[F.col(c) for c in lidar.columns if c not in {f"{a}_downsampled" for a in ("points", *aligned)}],
-        *[take(F.col(c), F.col("picked")).alias(f"{c}_downsampled") for c in ("points", *aligned)],
-    )
+def downsample(lidar: DataFrame, npts: int = SAMPLE_POINTS, aligned: Sequence[str] = ()) -> DataFrame:
+    """``<column>_downsampled`` for the points and every column aligned with them, in one pass."""
+    small = {f"{c}_downsampled": take(F.col(c), F.col("picked")) for c in ("points", *aligned)}
+    kept = [c for c in lidar.columns if c not in small]
+    return farthest_points(lidar, npts, keep=kept).withColumns(small).drop("picked")

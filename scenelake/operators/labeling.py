@@ -34,22 +34,20 @@ def label_events(samples: DataFrame, labels: DataFrame, uid: str = "weather_uid"
 
 
 def winning_labels(samples: DataFrame, events: DataFrame, seconds: int = SPREAD_SECONDS) -> DataFrame:
-    """(weather_uid, label): the latest label event covering each sample.
+    """(weather_uid, label): the label event with the highest ``seq`` covering each sample.
 
     An event at ``t0`` covers its location's samples with ``t0 <= t <= t0 + seconds``.
+    ``seq`` is unique, so only numbers travel and the labels join at the end.
     """
-    values = events.select(
-        "location",
-        micros("time").alias("at"),
-        F.struct(F.col("seq"), F.col("label")).alias("value"),
-    )
+    values = events.select("location", micros("time").alias("at"), F.col("seq").cast("long").alias("value"))
     probes = samples.select(
         "location",
         F.col("weather_uid").alias("probe_id"),
         (micros("time") - seconds * 1_000_000).alias("start"),
     )
     won = range_aggregate(values, probes, "location", seconds * 1_000_000, F.max, F.greatest)
-    return won.select(F.col("probe_id").alias("weather_uid"), F.col("result.label").alias("label"))
+    named = events.select(F.col("seq").cast("long").alias("result"), "label")
+    return won.join(named, "result").select(F.col("probe_id").alias("weather_uid"), "label")
 
 
 def apply_labels(samples: DataFrame, labels: DataFrame, seconds: int = SPREAD_SECONDS) -> DataFrame:

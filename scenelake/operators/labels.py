@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scenelake.functions import taxonomy
+from scenelake.operators.lookup import require
 from scenelake.plans.ordered import ordered_index
 
 LABEL_DIM = "name STRING, id INT, category STRING, cat_id INT, color ARRAY<DOUBLE>"
@@ -63,17 +64,14 @@ def field_map(labels: DataFrame, source: str, target: str, order: str = "id") ->
 
 
 def chain_maps(*maps: DataFrame, strict: bool = True) -> DataFrame:
-    """Compose (source, target) maps; a target the next map lacks is an error when ``strict``."""
+    """Compose (source, target) maps; a target the next map lacks fails the job when ``strict``."""
     if len(maps) < 2:
         raise ValueError("at least two maps are needed to chain")
     out = maps[0]
     for following in maps[1:]:
         step = following.select(F.col("source").alias("target"), F.col("target").alias("_next"))
-        if strict:
-            lost = out.select("target").distinct().join(step, "target", "left_anti").take(5)
-            if lost:
-                raise KeyError(f"no entry for {[r[0] for r in lost]}")
-        out = out.join(step, "target").select("source", F.col("_next").alias("target"))
+        met = require(out, step, "target", "label") if strict else out.join(step, "target")
+        out = met.select("source", F.col("_next").alias("target"))
     return out
 
 

@@ -8,21 +8,15 @@ from pyspark.sql import functions as F
 from scenelake.functions.dims import location_dim, wmo_dim
 from scenelake.functions.sun import twilight
 from scenelake.operators.labeling import micros
-
-
-def require_match(df: DataFrame, dim: DataFrame, key: str, what: str) -> None:
-    """Raise if a value of ``key`` has no row in ``dim``; NULL counts as missing."""
-    missing = df.select(key).distinct().join(dim.select(key), key, "left_anti").take(5)
-    if missing:
-        raise ValueError(f"unknown {what}: {[r[0] for r in missing]}")
+from scenelake.operators.lookup import require
 
 
 def with_gps(samples: DataFrame, places: DataFrame | None = None, strict: bool = True) -> DataFrame:
     """Add lat and lon by location; lenient mode leaves unknown places NULL."""
     places = places if places is not None else location_dim(samples.sparkSession)
     if strict:
-        require_match(samples, places, "location", "location")
-    return samples.join(places, "location", "inner" if strict else "left")
+        return require(samples, places, "location", "location")
+    return samples.join(places, "location", "left")
 
 
 def with_hourly_weather(samples: DataFrame, archive: DataFrame) -> DataFrame:
@@ -36,8 +30,8 @@ def with_weather_text(samples: DataFrame, codes: DataFrame | None = None, strict
     codes = codes if codes is not None else wmo_dim(samples.sparkSession)
     named = codes.select(F.col("code").alias("weather_code"), F.col("text").alias("weather"))
     if strict:
-        require_match(samples, named, "weather_code", "weather code")
-    return samples.join(named, "weather_code", "inner" if strict else "left")
+        return require(samples, named, "weather_code", "weather code")
+    return samples.join(named, "weather_code", "left")
 
 
 def time_of_day(is_day: Column, at_us: Column, lat: Column, lon: Column, title: bool = False) -> Column:

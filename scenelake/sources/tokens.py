@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from scenelake.functions.pose import pose_matrix
 from scenelake.functions.taxonomy import NUSCENES
 from scenelake.operators.geometry import box_to_ego, move_cloud
+from scenelake.operators.lookup import require
 from scenelake.plans.ordered import ranked
 
 # Only the fields the flattening reads.
@@ -48,13 +49,9 @@ def read_tokens(spark: SparkSession, root: str, table: str) -> DataFrame:
 
 
 def lookup(rows: DataFrame, key: str, table: DataFrame, *columns: str, strict: bool = True) -> DataFrame:
-    """Add columns of the ``table`` row whose token is ``rows[key]``; an unknown token is an error."""
+    """Add columns of the ``table`` row whose token is ``rows[key]``; an unknown token fails the job."""
     right = table.select(F.col("token").alias(key), *columns)
-    if strict:
-        lost = rows.select(key).distinct().join(right, key, "left_anti").take(5)
-        if lost:
-            raise KeyError(f"no {key} {[r[0] for r in lost]}")
-    return rows.join(right, key)
+    return require(rows, right, key, key) if strict else rows.join(right, key)
 
 
 def scene_splits(scenes: DataFrame, listing: DataFrame) -> DataFrame:

@@ -11,15 +11,24 @@ from scenelake.operators.labeling import SPREAD_SECONDS
 def propagate(frames: DataFrame, labels: DataFrame, delay: str = "10 minutes", seconds: int = SPREAD_SECONDS) -> DataFrame:
     """(weather_uid, time, seq, label) for each label event and each frame it covers.
 
+    Rows meet by place and time slot, so a busy place is spread over its slots.
     Both watermarks bound the join state: rows later than ``delay`` are
     dropped, so labels given long after the drive belong to the batch job.
     ``frames`` has (weather_uid, location, time), ``labels`` (seq, label,
     location, time).
     """
-    f = frames.withWatermark("time", delay).alias("f")
-    e = labels.withWatermark("time", delay).alias("e")
+    width = F.lit(seconds)
+    slot = F.floor(F.unix_seconds("time") / width)
+    f = frames.withWatermark("time", delay).withColumn("_slot", slot).alias("f")
+    # A label reaches into its own time slot and the next; a frame lies in exactly one.
+    e = (
+        labels.withWatermark("time", delay)
+        .withColumn("_slot", F.explode(F.array(slot, slot + 1)))
+        .alias("e")
+    )
     covered = (
         (F.col("f.location") == F.col("e.location"))
+        & (F.col("f._slot") == F.col("e._slot"))
         & (F.col("f.time") >= F.col("e.time"))
         & (F.col("f.time") <= F.col("e.time") + F.expr(f"INTERVAL {seconds} SECONDS"))
     )

@@ -398,6 +398,21 @@ def mean_array(spark, sf_dir):
     return means.select(F.col("pos").cast("long").alias("pos"), (F.round("mean", 5) + 0.0).alias("mean"))
 
 
+@query(
+    "late_payload",
+    "SELECT vec_id AS camera_uid, label, round(embedding[1]::DOUBLE, 5) + 0.0 AS first, len(embedding) AS n FROM embeddings "
+    "WHERE label IN (1, 3, 5) ORDER BY label DESC, vec_id LIMIT 60",
+)
+def late_payload(spark, sf_dir):
+    """The vectors are fetched only for the rows that survive the limit."""
+    vectors = table(spark, sf_dir, "embeddings").where("label IN (1, 3, 5)")
+    frames = vectors.selectExpr("vec_id AS camera_uid", "label", "-label AS rank", "embedding AS image")
+    catalog = Catalog({"camera": frames}, {"camera": ["camera_uid"]}, [])
+    page = SceneQuery(catalog, {"camera": ["camera_uid", "label", "image"]}, orderby="rank", limit=60).build()
+    first = F.round(F.get("image", 0).cast("double"), 5) + 0.0
+    return page.select("camera_uid", "label", first.alias("first"), F.size("image").cast("long").alias("n"))
+
+
 # -- shards and shuffles ----------------------------------------------------
 
 
