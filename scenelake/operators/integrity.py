@@ -62,8 +62,9 @@ def cascade_delete(catalog: Catalog, table: str, doomed: DataFrame) -> dict[str,
     Follows the foreign keys downwards; ``doomed`` holds the key columns of ``table``.
     """
     left = dict(catalog.tables)
-    gone = {table: catalog.table(table).join(doomed, list(catalog.keys[table]), "left_semi")}
-    left[table] = catalog.table(table).join(doomed, list(catalog.keys[table]), "left_anti")
+    rows, key = catalog.table(table), list(catalog.keys[table])
+    gone = {table: rows.join(doomed, key, "left_semi").select(rows.columns)}
+    left[table] = rows.join(doomed, key, "left_anti").select(rows.columns)
     queue = [table]
     while queue:
         parent = queue.pop(0)
@@ -74,8 +75,8 @@ def cascade_delete(catalog: Catalog, table: str, doomed: DataFrame) -> dict[str,
                 *[F.col(p).alias(c) for c, p in zip(fk.child_cols, fk.parent_cols)]
             ).distinct()
             child = left[fk.child]
-            removed = child.join(lost, list(fk.child_cols), "left_semi")
-            left[fk.child] = child.join(lost, list(fk.child_cols), "left_anti")
+            removed = child.join(lost, list(fk.child_cols), "left_semi").select(child.columns)
+            left[fk.child] = child.join(lost, list(fk.child_cols), "left_anti").select(child.columns)
             gone[fk.child] = gone[fk.child].unionByName(removed) if fk.child in gone else removed
             queue.append(fk.child)
     return left
