@@ -8,6 +8,8 @@ expressions.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -61,6 +63,17 @@ def quaternion_product(a: Column, b: Column) -> Column:
     )
 
 
+def conjugate(q: Column) -> Column:
+    """The opposite rotation of a unit quaternion."""
+    return F.array(q[0], -q[1], -q[2], -q[3])
+
+
+def rotation_angle(q: Column) -> Column:
+    """Angle of a rotation about its own axis, in radians within (-pi, pi]."""
+    half = F.atan2(F.sqrt(q[1] * q[1] + q[2] * q[2] + q[3] * q[3]), q[0])
+    return F.when(half * 2 > math.pi, half * 2 - 2 * math.pi).otherwise(half * 2)
+
+
 def quaternion_of(m: Column, stride: int = 3) -> Column:
     """Quaternion of a rotation matrix, or with ``stride=4`` of a 4x4 pose; the sign is arbitrary.
 

@@ -76,6 +76,16 @@ def _decode_probs(data: bytes) -> np.ndarray:
     return np.load(io.BytesIO(data), allow_pickle=False)["probs"]
 
 
+def _decode_cloud_file(data: bytes) -> np.ndarray:
+    """Raw sweep file: five floats per point (x, y, z, intensity, ring)."""
+    return np.frombuffer(data, np.float32).reshape(-1, 5)[:, :4]
+
+
+def _decode_label_file(data: bytes) -> np.ndarray:
+    """Raw label file: one byte per point."""
+    return np.frombuffer(data, np.uint8)
+
+
 def _flattener(decode: Callable[[bytes], np.ndarray]) -> Callable[[Column], Column]:
     @F.pandas_udf(_FLAT)
     def flat(payloads: pd.Series) -> pd.DataFrame:
@@ -93,6 +103,8 @@ def _flattener(decode: Callable[[bytes], np.ndarray]) -> Callable[[Column], Colu
 _flat_npy = _flattener(_decode_npy)
 _flat_probs = _flattener(_decode_probs)
 _flat_png = _flattener(decode_png)
+flat_cloud_file = _flattener(_decode_cloud_file)
+flat_label_file = _flattener(_decode_label_file)
 
 
 def _rows(flat: Column, count: Column, width: Column) -> Column:

@@ -5,9 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scenelake.functions.pose import pose_matrix
+from scenelake.functions.pose import (
+    conjugate,
+    pose_matrix,
+    project,
+    projection_matrix,
+    quaternion_product,
+    rotate,
+    rotate_columns,
+    rotation_angle,
+    rotation_cells,
+    rotation_matrix,
+    translate,
+)
 from scenelake.functions.taxonomy import NUSCENES
-from scenelake.operators.geometry import box_to_ego, move_cloud
+from scenelake.operators.geometry import move_cloud
 from scenelake.operators.lookup import require
 from scenelake.plans.ordered import ranked
 
@@ -18,13 +30,15 @@ TOKEN_TABLES = {
     "scene": "token STRING, name STRING, first_sample_token STRING, log_token STRING",
     "log": "token STRING, location STRING",
     "sample_data": "token STRING, sample_token STRING, ego_pose_token STRING, "
-    "calibrated_sensor_token STRING, filename STRING, is_key_frame BOOLEAN",
+    "calibrated_sensor_token STRING, filename STRING, is_key_frame BOOLEAN, width INT, height INT",
     "ego_pose": "token STRING, rotation ARRAY<DOUBLE>, translation ARRAY<DOUBLE>",
     "calibrated_sensor": "token STRING, sensor_token STRING, rotation ARRAY<DOUBLE>, "
     "translation ARRAY<DOUBLE>, camera_intrinsic ARRAY<ARRAY<DOUBLE>>, camera_distortion ARRAY<DOUBLE>",
     "sensor": "token STRING, channel STRING",
     "category": "token STRING, name STRING, index INT",
-    "sample_annotation": "token STRING, sample_token STRING, num_lidar_pts BIGINT",
+    "instance": "token STRING, category_token STRING",
+    "sample_annotation": "token STRING, sample_token STRING, instance_token STRING, translation ARRAY<DOUBLE>, "
+    "size ARRAY<DOUBLE>, rotation ARRAY<DOUBLE>, num_lidar_pts BIGINT",
     "lidarseg": "token STRING, sample_data_token STRING, filename STRING",
 }
 
@@ -139,6 +153,7 @@ def camera_rows(frames: DataFrame, dataset: str) -> DataFrame:
         parameters.alias("camera_parameters"),
         F.col("vehicle_pose").alias("camera_vehicle_pose"),
         "filename",
+        *[c for c in ("width", "height") if c in frames.columns],
     )
 
 
@@ -162,21 +177,93 @@ def cloud_to_ego(sweeps: DataFrame, points: str = "points", mount: str = "lidar_
     return moved.withColumn(points, move_cloud(F.col(points), F.col("_mount"))).drop("_mount")
 
 
-def unified_boxes(boxes: Column, rotation: Column | None = None, translation: Column | None = None) -> Column:
-    """Boxes with unified label names, moved to the vehicle frame when a mounting is given.
+def annotations(annotation: DataFrame, instance: DataFrame, category: DataFrame) -> DataFrame:
+    """(sample_token, box): world-frame boxes with unified label names; an unknown category fails the job."""
+    named = lookup(annotation, "instance_token", instance, "category_token")
+    named = lookup(named, "category_token", category, "name")
+    names = annotation.sparkSession.createDataFrame(list(NUSCENES.items()), "name STRING, label STRING")
+    size = F.col("size")
+    box = F.struct(
+        *[F.col("translation")[i].alias(a) for i, a in enumerate("xyz")],
+        size[1].alias("length"),
+        size[0].alias("width"),
+        size[2].alias("height"),
+        "rotation",
+        F.col("num_lidar_pts").alias("points_in_box"),
+        "label",
+    )
+    return require(named, names, "name", "label name").select("sample_token", "token", box.alias("box"))
+
+
+def _seen_from(box: Column, rotation: Column, translation: Column) -> Column:
+    """Box in the frame of a pose given in the box's frame."""
+    center = rotate(translate(tuple(box[a] for a in "xyz"), tuple(-translation[i] for i in range(3))), rotation_cells(rotation))
+    out = box.withField("rotation", quaternion_product(conjugate(rotation), box["rotation"]))
+    for axis, value in zip("xyz", center):
+        out = out.withField(axis, value)
+    return out
 
-    An unknown label name is an error.
+
+def lidar_boxes(sweeps: DataFrame, boxes: DataFrame) -> DataFrame:
+    """(token, lidar_box): all boxes of each sweep's sample in the vehicle frame, in annotation order.
+
+    A sweep's list is bounded by its own sample's annotations.
     """
-    names = F.create_map(*[F.lit(x) for kv in NUSCENES.items() for x in kv])
+    placed = sweeps.select(
+        "token", "sample_token", F.col("lidar_vehicle_pose.rotation").alias("q"), F.col("lidar_vehicle_pose.translation").alias("t")
+    ).join(boxes.withColumnRenamed("token", "annotation"), "sample_token")
+    moved = placed.select("token", "annotation", _seen_from(F.col("box"), F.col("q"), F.col("t")).alias("box"))
+    return _lists(moved, "lidar_box", "x, y, z, length, width, height, rotation, points_in_box, label")
+
 
-    def one(box: Column) -> Column:
-        moved = box if rotation is None else box_to_ego(box, rotation, translation)
-        error = F.raise_error(F.concat(F.lit("no label for "), box["label"]))
-        return moved.withField("label", F.coalesce(F.try_element_at(names, box["label"]), error.cast("string")))
+def camera_boxes(cameras: DataFrame, boxes: DataFrame) -> DataFrame:
+    """(token, camera_box): boxes in the camera frame that lie in front of it and reach into the image.
 
-    return F.transform(boxes, one)
+    ``cameras`` also has width and height. The yaw is the angle of the box's
+    rotation, in radians.
+    """
+    placed = cameras.select(
+        "token",
+        "sample_token",
+        F.col("camera_vehicle_pose").alias("ego"),
+        F.col("camera_parameters").alias("mount"),
+        "width",
+        "height",
+    ).join(boxes.withColumnRenamed("token", "annotation"), "sample_token")
+    in_ego = placed.withColumn("box", _seen_from(F.col("box"), F.col("ego.rotation"), F.col("ego.translation")))
+    in_camera = in_ego.withColumn("box", _seen_from(F.col("box"), F.col("mount.rotation"), F.col("mount.translation")))
+    turned = in_camera.withColumn("r", rotation_matrix(F.col("box.rotation"))).withColumn(
+        "k", projection_matrix(F.col("mount.intrinsic"))
+    )
+    half = lambda i, bit: F.shiftright(i, bit).bitwiseAND(F.lit(1)).cast("double") - 0.5
+    corner = lambda i: translate(
+        rotate_columns(
+            F.col("r"), (half(i, 0) * F.col("box.length"), half(i, 1) * F.col("box.width"), half(i, 2) * F.col("box.height"))
+        ),
+        (F.col("box.x"), F.col("box.y"), F.col("box.z")),
+    )
+    shot = lambda i: F.struct(
+        project(corner(i), F.col("k"), F.col("width"), F.col("height")).alias("s"), corner(i)[2].alias("depth")
+    )
+    corners = turned.withColumn("corners", F.transform(F.sequence(F.lit(0), F.lit(7)), shot))
+    inside = lambda c: (
+        (c["depth"] > 1) & (c["s"]["u"] > 0) & (c["s"]["u"] < F.col("width")) & (c["s"]["v"] > 0) & (c["s"]["v"] < F.col("height"))
+    )
+    visible = corners.where(
+        F.exists("corners", lambda c: F.coalesce(inside(c), F.lit(False))) & F.forall("corners", lambda c: c["depth"] > 0.1)
+    )
+    yawed = visible.select("token", "annotation", F.col("box").withField("yaw", rotation_angle(F.col("box.rotation"))).alias("box"))
+    return _lists(yawed, "camera_box", "x, y, z, length, width, height, yaw, label")
+
+
+def _lists(rows: DataFrame, column: str, fields: str) -> DataFrame:
+    entry = F.struct("annotation", "box")
+    picked = [f.strip() for f in fields.split(",")]
+    return rows.groupBy("token").agg(F.array_sort(F.collect_list(entry)).alias("_all")).select(
+        "token", F.transform("_all", lambda e: F.struct(*[e["box"][f].alias(f) for f in picked])).alias(column)
+    )
 
 
-def degrees_to_radians(boxes: Column) -> Column:
-    """Boxes whose yaw was stored in degrees, with yaw in radians."""
-    return F.transform(boxes, lambda b: b.withField("yaw", F.radians(b["yaw"])))
+def key_frames(sample_data: DataFrame) -> DataFrame:
+    """Rows that belong to an annotated sample; sensors also record frames in between."""
+    return sample_data.where(F.coalesce(F.col("is_key_frame"), F.lit(True)))
