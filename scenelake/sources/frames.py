@@ -14,7 +14,7 @@ from scenelake.operators.labels import remap_labels
 # A frame as decoded from its record; transforms are 4x4 in row order.
 FRAME = """
     timestamp_micros BIGINT, location STRING, weather STRING, time_of_day STRING, pose ARRAY<DOUBLE>,
-    images ARRAY<STRUCT<name: INT, image: BINARY, semantic: ARRAY<INT>>>,
+    images ARRAY<STRUCT<name: INT, image: BINARY, semantic: STRUCT<height: INT, width: INT, labels: ARRAY<INT>>>>,
     camera_labels ARRAY<STRUCT<name: INT, labels: ARRAY<STRUCT<x: DOUBLE, y: DOUBLE, length: DOUBLE,
         width: DOUBLE, type: STRING>>>>,
     camera_calibrations ARRAY<STRUCT<name: INT, intrinsic: ARRAY<DOUBLE>, extrinsic: ARRAY<DOUBLE>,
@@ -83,6 +83,9 @@ def image_rows(frames: DataFrame, ids: dict[str, int]) -> DataFrame:
         F.lit(None).cast("array<double>").alias("distortion"),
     )
     pairs = {i: ids[unified] for i, (_, unified) in enumerate(WAYMO_CAMERA)}
+    semantic = F.struct(
+        "im.semantic.height", "im.semantic.width", remap_labels(F.col("im.semantic.labels"), pairs).alias("labels")
+    )
     return rows.select(
         "time",
         "location",
@@ -91,7 +94,7 @@ def image_rows(frames: DataFrame, ids: dict[str, int]) -> DataFrame:
         F.when(mount.isNotNull(), parameters).alias("camera_parameters"),
         _pose(F.col("pose")).alias("camera_vehicle_pose"),
         boxes.alias("camera_box"),
-        F.when(F.size("im.semantic") > 0, remap_labels(F.col("im.semantic"), pairs)).alias("camera_segmentation"),
+        F.when(F.size("im.semantic.labels") > 0, semantic).alias("camera_segmentation"),
     )
 
 

@@ -6,6 +6,7 @@ keys. All merges are keyed, so a repeated batch changes nothing.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from scenelake import schemas
 from scenelake.operators.lookup import require
 from scenelake.operators.upserts import insert_first, upsert_labels, upsert_last
+from scenelake.session import shared_dir
 from scenelake.sources.tables import replace_table
 
 SENSOR_VALUES = {
@@ -52,6 +54,20 @@ def _store(df: DataFrame, table: str, database: str | None, root: str | None) ->
     return df.sparkSession.table(f"{database}.{table}" if database else table)
 
 
+def _typed(rows: DataFrame, sensor: str, key: list[str]) -> DataFrame:
+    """A sensor batch's key, order and stored columns, brought to the stored types."""
+    wanted = {f.name: f.dataType for t in (sensor, *LABEL_TABLES[sensor]) for f in schemas.table_schema(t).fields}
+    kept = [c for c in (*SENSOR_VALUES[sensor], *LABEL_TABLES[sensor]) if c in rows.columns]
+    return rows.select(*key, "seq", *[_shaped(F.col(c), rows.schema[c].dataType, wanted[c]).alias(c) for c in kept])
+
+
+def _staged(df: DataFrame, root: str | None) -> DataFrame:
+    """Write a batch once; its merge and its label merges then read it instead of flattening again."""
+    place = f"{(root or shared_dir(df.sparkSession)).rstrip('/')}/_staged/{uuid.uuid4().hex}"
+    df.write.parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place)
+
+
 def store_batch(
     spark: SparkSession, batch: Mapping[str, DataFrame], database: str | None = None, root: str | None = None
 ) -> dict[str, DataFrame]:
@@ -72,7 +88,8 @@ def store_batch(
         if sensor not in batch:
             continue
         uid, key = f"{sensor}_uid", list(schemas.NATURAL_KEYS[sensor])
-        placed = require(batch[sensor], keys, ["time", "location"], "sample")
+        located = require(batch[sensor], keys, ["time", "location"], "sample")
+        placed = _staged(_typed(located, sensor, key), root)
         values = [c for c in SENSOR_VALUES[sensor] if c in placed.columns]
         merged = upsert_last(spark.table(name(sensor)), placed, key, "seq", values, uid)
         out[sensor] = _store(merged, sensor, database, root)

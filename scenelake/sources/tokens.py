@@ -7,14 +7,13 @@ from pyspark.sql import functions as F
 
 from scenelake.functions.pose import (
     conjugate,
+    matrix_product,
+    move,
     pose_matrix,
-    project,
     projection_matrix,
     quaternion_product,
-    rotate,
     rotate_columns,
     rotation_angle,
-    rotation_cells,
     rotation_matrix,
     translate,
 )
@@ -178,12 +177,16 @@ def cloud_to_ego(sweeps: DataFrame, points: str = "points", mount: str = "lidar_
 
 
 def annotations(annotation: DataFrame, instance: DataFrame, category: DataFrame) -> DataFrame:
-    """(sample_token, box): world-frame boxes with unified label names; an unknown category fails the job."""
+    """World-frame boxes (sample_token, annotation, x, y, z, length, width, height, rotation,
+    points_in_box, label) with unified label names; an unknown category fails the job.
+    """
     named = lookup(annotation, "instance_token", instance, "category_token")
     named = lookup(named, "category_token", category, "name")
     names = annotation.sparkSession.createDataFrame(list(NUSCENES.items()), "name STRING, label STRING")
     size = F.col("size")
-    box = F.struct(
+    return require(named, names, "name", "label name").select(
+        "sample_token",
+        F.col("token").alias("annotation"),
         *[F.col("translation")[i].alias(a) for i, a in enumerate("xyz")],
         size[1].alias("length"),
         size[0].alias("width"),
@@ -192,16 +195,18 @@ def annotations(annotation: DataFrame, instance: DataFrame, category: DataFrame)
         F.col("num_lidar_pts").alias("points_in_box"),
         "label",
     )
-    return require(named, names, "name", "label name").select("sample_token", "token", box.alias("box"))
 
 
-def _seen_from(box: Column, rotation: Column, translation: Column) -> Column:
-    """Box in the frame of a pose given in the box's frame."""
-    center = rotate(translate(tuple(box[a] for a in "xyz"), tuple(-translation[i] for i in range(3))), rotation_cells(rotation))
-    out = box.withField("rotation", quaternion_product(conjugate(rotation), box["rotation"]))
-    for axis, value in zip("xyz", center):
-        out = out.withField(axis, value)
-    return out
+def _inverse(pose: str) -> Column:
+    return pose_matrix(F.col(f"{pose}.rotation"), F.col(f"{pose}.translation"), inverse=True)
+
+
+def _seen(boxes: DataFrame) -> DataFrame:
+    """Boxes moved by the row's world-to-sensor ``matrix`` and turned by its quaternion ``turn``."""
+    center = move(F.col("matrix"), (F.col("x"), F.col("y"), F.col("z")))
+    return boxes.withColumns(
+        {**dict(zip("xyz", center)), "rotation": quaternion_product(F.col("turn"), F.col("rotation"))}
+    )
 
 
 def lidar_boxes(sweeps: DataFrame, boxes: DataFrame) -> DataFrame:
@@ -210,10 +215,16 @@ def lidar_boxes(sweeps: DataFrame, boxes: DataFrame) -> DataFrame:
     A sweep's list is bounded by its own sample's annotations.
     """
     placed = sweeps.select(
-        "token", "sample_token", F.col("lidar_vehicle_pose.rotation").alias("q"), F.col("lidar_vehicle_pose.translation").alias("t")
-    ).join(boxes.withColumnRenamed("token", "annotation"), "sample_token")
-    moved = placed.select("token", "annotation", _seen_from(F.col("box"), F.col("q"), F.col("t")).alias("box"))
-    return _lists(moved, "lidar_box", "x, y, z, length, width, height, rotation, points_in_box, label")
+        "token",
+        "sample_token",
+        _inverse("lidar_vehicle_pose").alias("matrix"),
+        conjugate(F.col("lidar_vehicle_pose.rotation")).alias("turn"),
+    ).join(boxes, "sample_token")
+    return _lists(
+        _seen(placed),
+        "lidar_box",
+        ["x", "y", "z", "length", "width", "height", "rotation", "points_in_box", "label"],
+    )
 
 
 def camera_boxes(cameras: DataFrame, boxes: DataFrame) -> DataFrame:
@@ -222,45 +233,47 @@ def camera_boxes(cameras: DataFrame, boxes: DataFrame) -> DataFrame:
     ``cameras`` also has width and height. The yaw is the angle of the box's
     rotation, in radians.
     """
-    placed = cameras.select(
+    turn = quaternion_product(
+        conjugate(F.col("camera_parameters.rotation")), conjugate(F.col("camera_vehicle_pose.rotation"))
+    )
+    mounted = cameras.select(
         "token",
         "sample_token",
-        F.col("camera_vehicle_pose").alias("ego"),
-        F.col("camera_parameters").alias("mount"),
-        "width",
-        "height",
-    ).join(boxes.withColumnRenamed("token", "annotation"), "sample_token")
-    in_ego = placed.withColumn("box", _seen_from(F.col("box"), F.col("ego.rotation"), F.col("ego.translation")))
-    in_camera = in_ego.withColumn("box", _seen_from(F.col("box"), F.col("mount.rotation"), F.col("mount.translation")))
-    turned = in_camera.withColumn("r", rotation_matrix(F.col("box.rotation"))).withColumn(
-        "k", projection_matrix(F.col("mount.intrinsic"))
-    )
-    half = lambda i, bit: F.shiftright(i, bit).bitwiseAND(F.lit(1)).cast("double") - 0.5
-    corner = lambda i: translate(
-        rotate_columns(
-            F.col("r"), (half(i, 0) * F.col("box.length"), half(i, 1) * F.col("box.width"), half(i, 2) * F.col("box.height"))
-        ),
-        (F.col("box.x"), F.col("box.y"), F.col("box.z")),
-    )
-    shot = lambda i: F.struct(
-        project(corner(i), F.col("k"), F.col("width"), F.col("height")).alias("s"), corner(i)[2].alias("depth")
+        matrix_product(_inverse("camera_parameters"), _inverse("camera_vehicle_pose")).alias("matrix"),
+        turn.alias("turn"),
+        projection_matrix(F.col("camera_parameters.intrinsic")).alias("projection"),
+        F.col("width").alias("image_width"),
+        F.col("height").alias("image_height"),
     )
-    corners = turned.withColumn("corners", F.transform(F.sequence(F.lit(0), F.lit(7)), shot))
-    inside = lambda c: (
-        (c["depth"] > 1) & (c["s"]["u"] > 0) & (c["s"]["u"] < F.col("width")) & (c["s"]["v"] > 0) & (c["s"]["v"] < F.col("height"))
+    seen = _seen(mounted.join(boxes, "sample_token"))
+    half = lambda i, bit, side: (F.shiftright(i, bit).bitwiseAND(F.lit(1)).cast("double") - 0.5) * F.col(side)
+
+    def corner(i: Column) -> Column:
+        offset = (half(i, 0, "length"), half(i, 1, "width"), half(i, 2, "height"))
+        at = translate(rotate_columns(F.col("_r"), offset), (F.col("x"), F.col("y"), F.col("z")))
+        return F.struct(*[c.alias(a) for a, c in zip("xyz", at)])
+
+    def inside(c: Column) -> Column:
+        u, v, w = move(F.col("projection"), (c["x"], c["y"], c["z"]))
+        u, v = F.try_divide(u, w), F.try_divide(v, w)
+        hit = (c["z"] > 1) & (u > 0) & (u < F.col("image_width")) & (v > 0) & (v < F.col("image_height"))
+        return F.coalesce(hit, F.lit(False))
+
+    corners = seen.withColumn("_r", rotation_matrix(F.col("rotation"))).withColumn(
+        "corners", F.transform(F.sequence(F.lit(0), F.lit(7)), corner)
     )
-    visible = corners.where(
-        F.exists("corners", lambda c: F.coalesce(inside(c), F.lit(False))) & F.forall("corners", lambda c: c["depth"] > 0.1)
+    visible = corners.where(F.exists("corners", inside) & F.forall("corners", lambda c: c["z"] > 0.1))
+    return _lists(
+        visible.withColumn("yaw", rotation_angle(F.col("rotation"))),
+        "camera_box",
+        ["x", "y", "z", "length", "width", "height", "yaw", "label"],
     )
-    yawed = visible.select("token", "annotation", F.col("box").withField("yaw", rotation_angle(F.col("box.rotation"))).alias("box"))
-    return _lists(yawed, "camera_box", "x, y, z, length, width, height, yaw, label")
 
 
-def _lists(rows: DataFrame, column: str, fields: str) -> DataFrame:
-    entry = F.struct("annotation", "box")
-    picked = [f.strip() for f in fields.split(",")]
-    return rows.groupBy("token").agg(F.array_sort(F.collect_list(entry)).alias("_all")).select(
-        "token", F.transform("_all", lambda e: F.struct(*[e["box"][f].alias(f) for f in picked])).alias(column)
+def _lists(rows: DataFrame, column: str, fields: list[str]) -> DataFrame:
+    entries = F.array_sort(F.collect_list(F.struct("annotation", *fields)))
+    return rows.groupBy("token").agg(entries.alias("_all")).select(
+        "token", F.transform("_all", lambda e: F.struct(*[e[f].alias(f) for f in fields])).alias(column)
     )
 
 

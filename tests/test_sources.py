@@ -297,7 +297,7 @@ def frame(micros, laser_labels, lasers):
     shifted = EYE[:3] + [7.0] + EYE[4:]
     return (
         micros, "location_sf", "sunny", "Day", shifted,
-        [(1, b"img", [0, 2, 9]), (2, b"img2", None)],
+        [(1, b"img", (1, 3, [0, 2, 9])), (2, b"img2", None)],
         [(1, [(1.0, 2.0, 3.0, 4.0, "TYPE_CYCLIST")])],
         [(1, [float(i) for i in range(9)], shifted, 1920, 1280)],
         lasers,
@@ -324,7 +324,7 @@ def test_frames(spark):
     }
     images = {(r.time.second, r.camera_id): r for r in frames.image_rows(df, IDS).collect()}
     one, two = images[(1, "waymo_1")], images[(1, "waymo_2")]
-    assert len(images) == 6 and one.camera_segmentation == [IDS["void"], IDS["car"], IDS["person"]]
+    assert len(images) == 6 and tuple(one.camera_segmentation) == (1, 3, [IDS["void"], IDS["car"], IDS["person"]])
     assert [b.label for b in one.camera_box] == ["bicycle"] and two.camera_box == []
     assert one.camera_parameters.intrinsic == [[0, 1, 2], [3, 4, 5], [6, 7, 8]] and two.camera_parameters is None
     assert one.camera_vehicle_pose.translation == [7.0, 0.0, 0.0] and two.camera_segmentation is None

@@ -100,7 +100,11 @@ def _frames(spark, sf_dir):
     image = lambda name: F.struct(
         F.lit(name).alias("name"),
         F.lit(b"").alias("image"),
-        F.transform(F.slice("embedding", name, 4), lambda x: F.floor(F.abs(x) * 100).cast("int") % 6).alias("semantic"),
+        F.struct(
+            F.lit(2).alias("height"),
+            F.lit(2).alias("width"),
+            F.transform(F.slice("embedding", name, 4), lambda x: F.floor(F.abs(x) * 100).cast("int") % 6).alias("labels"),
+        ).alias("semantic"),
     )
     mount = lambda name: F.struct(
         F.lit(name).alias("name"),
@@ -139,7 +143,7 @@ def explode_frames(spark, sf_dir):
                              "traffic light", "building", "road", "lane marking", "sidewalk", "vegetation", "sky",
                              "ground", "dynamic", "static")}
     rows = frames.image_rows(_frames(spark, sf_dir), rest | names)
-    total = F.aggregate("camera_segmentation", F.lit(0).cast("long"), lambda acc, x: acc + x)
+    total = F.aggregate("camera_segmentation.labels", F.lit(0).cast("long"), lambda acc, x: acc + x)
     parameters = F.col("camera_parameters")
     return rows.select(
         "location",
