@@ -46,9 +46,15 @@ def sample_rows(frames: DataFrame, split: str) -> DataFrame:
         F.col("time_of_day").alias("tod"),
         F.lit("waymo").alias("dataset"),
         F.lit(split).alias("split"),
+        _seq("location"),
     )
 
 
+def _seq(*parts: str) -> Column:
+    """Name of a row within its batch; a repeated key takes the highest."""
+    return F.concat_ws("-", F.lpad(F.col("timestamp_micros").cast("string"), 20, "0"), *parts).alias("seq")
+
+
 def _own(entries: Column, name: Column) -> Column:
     """First entry of a per-sensor list that belongs to sensor ``name``, else NULL."""
     return F.get(F.filter(entries, lambda e: e["name"] == name), F.lit(0))
@@ -59,6 +65,7 @@ def image_rows(frames: DataFrame, ids: dict[str, int]) -> DataFrame:
     rows = frames.select(
         F.timestamp_micros("timestamp_micros").alias("time"),
         "location",
+        "timestamp_micros",
         "pose",
         "camera_labels",
         "camera_calibrations",
@@ -94,6 +101,7 @@ def image_rows(frames: DataFrame, ids: dict[str, int]) -> DataFrame:
         F.when(mount.isNotNull(), parameters).alias("camera_parameters"),
         _pose(F.col("pose")).alias("camera_vehicle_pose"),
         boxes.alias("camera_box"),
+        _seq("location", "im.name"),
         F.when(F.size("im.semantic.labels") > 0, semantic).alias("camera_segmentation"),
     )
 
@@ -107,6 +115,7 @@ def lidar_rows(frames: DataFrame, ids: dict[str, int]) -> DataFrame:
     rows = frames.select(
         F.timestamp_micros("timestamp_micros").alias("time"),
         "location",
+        "timestamp_micros",
         "pose",
         "laser_labels",
         "laser_calibrations",
@@ -134,6 +143,7 @@ def lidar_rows(frames: DataFrame, ids: dict[str, int]) -> DataFrame:
         _pose(F.col("pose")).alias("lidar_vehicle_pose"),
         F.when(labelled, remap_labels(raw, pairs)).alias("lidar_segmentation"),
         "laser_labels",
+        _seq("location", "las.name"),
     )
     return sweeps.join(_counted_boxes(sweeps, key), key, "left").withColumn(
         "lidar_box",

@@ -320,7 +320,7 @@ def test_frames(spark):
         frames.FRAME,
     )
     assert frames.sample_rows(df, "training").first().asDict() | {"time": 0} == {
-        "time": 0, "location": "location_sf", "weather": "sunny", "tod": "Day", "dataset": "waymo", "split": "training"
+        "seq": "00000000000001000000-location_sf", "time": 0, "location": "location_sf", "weather": "sunny", "tod": "Day", "dataset": "waymo", "split": "training"
     }
     images = {(r.time.second, r.camera_id): r for r in frames.image_rows(df, IDS).collect()}
     one, two = images[(1, "waymo_1")], images[(1, "waymo_2")]
