@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 SAMPLE_POINTS = 16384
 
 _CELL = 2.0  # metres; edge of the finest grid cell
+_SALT = 8  # parts a grid cell's points are dealt into; its boxes are copied to each
 _SLACK = 1e-6  # keeps points on a box face inside the cells the box reserves
 
 
@@ -37,7 +38,7 @@ def points_in_boxes(points: DataFrame, boxes: DataFrame, sweep: str = "lidar_uid
     length, width, height, yaw in radians). Both sides meet in ground-plane
     cells. A box picks the grid whose cells are as large as its footprint and
     so reserves at most four of them, whatever its size; a point enters one
-    cell of every grid in use.
+    cell of every grid in use. A crowded cell is dealt into parts.
     """
     cos, sin = F.cos("yaw"), F.sin("yaw")
     half_x = (F.abs(cos) * F.col("length") + F.abs(sin) * F.col("width")) / 2 + _SLACK
@@ -60,14 +61,20 @@ def points_in_boxes(points: DataFrame, boxes: DataFrame, sweep: str = "lidar_uid
     reserved = (
         sized.withColumn("_cx", F.explode(F.sequence(cell(F.col("b_x") - F.col("_hx")), cell(F.col("b_x") + F.col("_hx")))))
         .withColumn("_cy", F.explode(F.sequence(cell(F.col("b_y") - F.col("_hy")), cell(F.col("b_y") + F.col("_hy")))))
+        .withColumn("_part", F.explode(F.array(*[F.lit(i).cast("long") for i in range(_SALT)])))
         .drop("_hx", "_hy")
     )
     placed = points.select(
         sweep,
         *[F.col(a).cast("double").alias(f"p_{a}") for a in "xyz"],
         F.explode(F.array(*[F.lit(g) for g in grids]).cast("array<int>")).alias("_grid"),
-    ).select("*", cell(F.col("p_x")).alias("_cx"), cell(F.col("p_y")).alias("_cy"))
-    met = placed.join(reserved, [sweep, "_grid", "_cx", "_cy"]).where(inside_box("b_", "p_"))
+    ).select(
+        "*",
+        cell(F.col("p_x")).alias("_cx"),
+        cell(F.col("p_y")).alias("_cy"),
+        F.pmod(F.xxhash64("p_x", "p_y", "p_z"), F.lit(_SALT)).alias("_part"),
+    )
+    met = placed.join(reserved, [sweep, "_grid", "_cx", "_cy", "_part"]).where(inside_box("b_", "p_"))
     return met.groupBy(sweep, "box_idx").agg(F.count("*").alias("points_in_box"))
 
 

@@ -41,13 +41,16 @@ def assign_uids(rows: DataFrame, key: Sequence[str], uid: str, start: int) -> Da
     return indexed.withColumn(uid, F.col("_idx") + F.lit(start)).drop("_idx")
 
 
-def insert_first(existing: DataFrame, batch: DataFrame, key: Sequence[str], seq: str, uid: str) -> DataFrame:
+def insert_first(
+    existing: DataFrame, batch: DataFrame, key: Sequence[str], seq: str, uid: str, start: int | None = None
+) -> DataFrame:
     """Add batch rows whose key is new; rows already stored stay as they are.
 
     The result, read by ``key``, is also the map from natural key to uid.
+    ``start`` is the first free uid where ``existing`` is only a part of a table.
     """
     fresh = first_write(batch, key, seq).drop(seq).join(existing.select(*key), list(key), "left_anti")
-    added = assign_uids(fresh, key, uid, next_uid(existing, uid))
+    added = assign_uids(fresh, key, uid, next_uid(existing, uid) if start is None else start)
     return existing.unionByName(added, allowMissingColumns=True)
 
 
@@ -58,25 +61,26 @@ def upsert_last(
     seq: str,
     values: Sequence[str],
     uid: str | None = None,
+    start: int | None = None,
 ) -> DataFrame:
     """Set ``values`` from the batch's last row per key, NULLs included; add new keys.
 
-    Stored rows keep their uid and every column outside ``values``.
+    Stored rows keep their uid and every column outside ``values``. ``start``
+    is the first free uid where ``existing`` is only a part of a table.
     """
     newest = last_write(batch, key, seq).select(*key, *[F.col(c).alias(f"_new_{c}") for c in values])
     newest = newest.withColumn("_hit", F.lit(True))
-    kept = existing.join(newest, list(key), "left")
-    updated = kept.select(
-        *[
-            F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in values else F.col(c)
-            for c in existing.columns
-        ]
-    )
-    fresh = newest.join(existing.select(*key), list(key), "left_anti").select(
-        *key, *[F.col(f"_new_{c}").alias(c) for c in values]
-    )
-    if uid is not None:
-        fresh = assign_uids(fresh, key, uid, next_uid(existing, uid))
+    merged = [
+        F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in values else F.col(c)
+        for c in existing.columns
+    ]
+    if uid is None:
+        return existing.join(newest, list(key), "full").select(*merged)
+    # New keys are set apart before payloads are looked at: numbering them sorts and materialises.
+    updated = existing.join(newest, list(key), "left").select(*merged)
+    new_keys = newest.select(*key).join(existing.select(*key), list(key), "left_anti")
+    numbered = assign_uids(new_keys, key, uid, next_uid(existing, uid) if start is None else start)
+    fresh = newest.join(numbered, list(key)).select(uid, *key, *[F.col(f"_new_{c}").alias(c) for c in values])
     return updated.unionByName(fresh, allowMissingColumns=True)
 
 

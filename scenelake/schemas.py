@@ -42,6 +42,28 @@ TABLES: dict[str, str] = {
     "model STRING",
 }
 
+# Storage partition of each table: column, type, and the expression giving it. A batch of new
+# recordings lands in few partitions, so a merge rewrites those and nothing else.
+SAMPLES_PER_BLOCK = 10_000
+SENSOR_ROWS_PER_BLOCK = 100_000
+
+
+def _block(uid: str, rows: int) -> tuple[str, str, str]:
+    return "block", "BIGINT", f"CAST(floor({uid} / {rows}) AS BIGINT)"
+
+
+PARTITIONS: dict[str, tuple[str, str, str]] = {
+    "weather": ("day", "DATE", "to_date(time)"),
+    "camera": _block("weather_uid", SAMPLES_PER_BLOCK),
+    "lidar": _block("weather_uid", SAMPLES_PER_BLOCK),
+    "camera_segmentation": _block("camera_uid", SENSOR_ROWS_PER_BLOCK),
+    "camera_box": _block("camera_uid", SENSOR_ROWS_PER_BLOCK),
+    "results_camera_segmentation": _block("camera_uid", SENSOR_ROWS_PER_BLOCK),
+    "lidar_segmentation": _block("lidar_uid", SENSOR_ROWS_PER_BLOCK),
+    "lidar_box": _block("lidar_uid", SENSOR_ROWS_PER_BLOCK),
+    "results_lidar_segmentation": _block("lidar_uid", SENSOR_ROWS_PER_BLOCK),
+}
+
 # Surrogate key of each table.
 KEYS: dict[str, tuple[str, ...]] = {
     "weather": ("weather_uid",),

@@ -1,7 +1,8 @@
 """Storing a flattened batch: samples first, then sensors, then their labels.
 
-Every step writes a complete new table version before the next one reads its
-keys. All merges are keyed, so a repeated batch changes nothing.
+A merge reads and rewrites only the storage partitions its batch falls into,
+and is committed before the next step reads its keys. All merges are keyed, so
+a repeated batch changes nothing.
 """
 
 from __future__ import annotations
@@ -14,9 +15,9 @@ from pyspark.sql import functions as F
 
 from scenelake import schemas
 from scenelake.operators.lookup import require
-from scenelake.operators.upserts import insert_first, upsert_labels, upsert_last
+from scenelake.operators.upserts import insert_first, next_uid, upsert_labels, upsert_last
 from scenelake.session import shared_dir
-from scenelake.sources.tables import replace_table
+from scenelake.sources.tables import overwrite_touched, touched
 
 SENSOR_VALUES = {
     "camera": ("image", "camera_parameters", "camera_vehicle_pose"),
@@ -49,11 +50,6 @@ def _shaped(column, have, want):
     return column.cast(want)
 
 
-def _store(df: DataFrame, table: str, database: str | None, root: str | None) -> DataFrame:
-    replace_table(_cast(df, table), table, database, root)
-    return df.sparkSession.table(f"{database}.{table}" if database else table)
-
-
 def _typed(rows: DataFrame, sensor: str, key: list[str]) -> DataFrame:
     """A sensor batch's key, order and stored columns, brought to the stored types."""
     wanted = {f.name: f.dataType for t in (sensor, *LABEL_TABLES[sensor]) for f in schemas.table_schema(t).fields}
@@ -79,11 +75,11 @@ def store_batch(
     in each and decides which row counts where a key repeats.
     """
     name = lambda t: f"{database}.{t}" if database else t
-    stored = spark.table(name("weather"))
-    rows = batch["weather"].select("time", "location", "weather", "tod", "dataset", "split", "seq")
-    weather = _store(insert_first(stored, rows, ["time", "location"], "seq", "weather_uid"), "weather", database, root)
-    out = {"weather": weather}
-    keys = weather.select("time", "location", "weather_uid")
+    rows = _staged(batch["weather"].select("time", "location", "weather", "tod", "dataset", "split", "seq"), root)
+    start = next_uid(spark.table(name("weather")), "weather_uid")
+    merged = insert_first(touched("weather", rows, database), rows, ["time", "location"], "seq", "weather_uid", start)
+    out = {"weather": overwrite_touched(_cast(merged, "weather"), "weather", database)}
+    keys = touched("weather", rows, database).select("time", "location", "weather_uid")
     for sensor in ("camera", "lidar"):
         if sensor not in batch:
             continue
@@ -91,12 +87,13 @@ def store_batch(
         located = require(batch[sensor], keys, ["time", "location"], "sample")
         placed = _staged(_typed(located, sensor, key), root)
         values = [c for c in SENSOR_VALUES[sensor] if c in placed.columns]
-        merged = upsert_last(spark.table(name(sensor)), placed, key, "seq", values, uid)
-        out[sensor] = _store(merged, sensor, database, root)
+        start = next_uid(spark.table(name(sensor)), uid)
+        merged = upsert_last(touched(sensor, placed, database), placed, key, "seq", values, uid, start)
+        out[sensor] = overwrite_touched(_cast(merged, sensor), sensor, database)
+        uids = touched(sensor, placed, database).select(*key, uid)
         for table in LABEL_TABLES[sensor]:
             if table in placed.columns:
-                uids = out[sensor].select(*key, uid)
                 labelled = placed.select(*key, table, "seq").join(uids, key)
-                merged = upsert_labels(spark.table(name(table)), labelled, uid, table, "seq")
-                out[table] = _store(merged, table, database, root)
+                merged = upsert_labels(touched(table, labelled, database), labelled, uid, table, "seq")
+                out[table] = overwrite_touched(_cast(merged, table), table, database)
     return out

@@ -16,10 +16,14 @@ def _name(table: str, database: str | None) -> str:
 
 
 def create_tables(spark: SparkSession, database: str | None = None, root: str | None = None) -> None:
-    """Create the scene tables that do not exist yet."""
-    for table in schemas.TABLES:
-        at = f" LOCATION '{root.rstrip('/')}/{table}/empty'" if root else ""
-        spark.sql(f"CREATE TABLE IF NOT EXISTS {_name(table, database)} ({schemas.TABLES[table]}) USING parquet{at}")
+    """Create the scene tables that do not exist yet, each split by its storage partition."""
+    for table, columns in schemas.TABLES.items():
+        part, kind, _ = schemas.PARTITIONS[table]
+        at = f" LOCATION '{root.rstrip('/')}/{table}'" if root else ""
+        spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {_name(table, database)} ({columns}, {part} {kind}) "
+            f"USING parquet PARTITIONED BY ({part}){at}"
+        )
 
 
 def drop_tables(spark: SparkSession, database: str | None = None) -> None:
@@ -27,6 +31,38 @@ def drop_tables(spark: SparkSession, database: str | None = None) -> None:
         spark.sql(f"DROP TABLE IF EXISTS {_name(table, database)}")
 
 
+def touched(table: str, batch: DataFrame, database: str | None = None) -> DataFrame:
+    """The stored rows in the partitions a batch falls into; the others are not read.
+
+    Only the batch's distinct partition values pass the driver.
+    """
+    part, _, expression = schemas.PARTITIONS[table]
+    values = [r[0] for r in batch.select(F.expr(expression).alias(part)).distinct().collect()]
+    return batch.sparkSession.table(_name(table, database)).where(F.col(part).isin(values))
+
+
+def overwrite_touched(df: DataFrame, table: str, database: str | None = None) -> DataFrame:
+    """Replace exactly the partitions ``df`` has rows in, in one commit; ``df`` may read the table.
+
+    The rebalance splits a large partition over several tasks and joins small ones.
+    """
+    spark = df.sparkSession
+    part, _, expression = schemas.PARTITIONS[table]
+    columns = [f.name for f in schemas.table_schema(table).fields]
+    placed = df.select(*columns, F.expr(expression).alias(part)).hint("rebalance", part)
+    name = _name(table, database)
+    # insertInto takes the overwrite mode from the session only.
+    mode = "spark.sql.sources.partitionOverwriteMode"
+    before = spark.conf.get(mode)
+    spark.conf.set(mode, "dynamic")
+    try:
+        placed.write.mode("overwrite").insertInto(name)
+    finally:
+        spark.conf.set(mode, before)
+    spark.catalog.refreshTable(name)
+    return spark.table(name)
+
+
 def replace_table(df: DataFrame, table: str, database: str | None = None, root: str | None = None) -> str:
     """Write a complete new version of a table beside the old one, then point the table at it.
 

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scenelake import Catalog, SceneQuery, schemas
+from scenelake.session import materialise
 from scenelake.operators import labels as L
 from scenelake.operators import weather as W
 from scenelake.sources import files, frames, ingest, payloads, tables, tokens
@@ -132,15 +133,31 @@ def test_create_replace_drop(spark, database, tmp_path):
     cat = Catalog.of_database(spark, database)
     assert set(cat.tables) == set(schemas.TABLES) and cat.table("lidar").count() == 0
     rows = spark.createDataFrame([(1, None)], schemas.TABLES["camera_box"].replace(" NOT NULL", ""))
-    tables.replace_table(rows, "camera_box", database, root)
+    tables.replace_table(rows, "labels_copy", database, root)
     # A plan may read the very table it replaces.
-    twice = spark.table(f"{database}.camera_box").selectExpr("camera_uid + 1 AS camera_uid", "camera_box")
-    tables.replace_table(twice.union(rows), "camera_box", database, root)
-    assert sorted(r.camera_uid for r in spark.table(f"{database}.camera_box").collect()) == [1, 2]
+    twice = spark.table(f"{database}.labels_copy").selectExpr("camera_uid + 1 AS camera_uid", "camera_box")
+    tables.replace_table(twice.union(rows), "labels_copy", database, root)
+    assert sorted(r.camera_uid for r in spark.table(f"{database}.labels_copy").collect()) == [1, 2]
+    spark.sql(f"DROP TABLE {database}.labels_copy")
     tables.drop_tables(spark, database)
     assert spark.catalog.listTables(database) == []
 
 
+def test_only_touched_partitions_are_rewritten(spark, database, tmp_path):
+    tables.create_tables(spark, database, str(tmp_path / "data"))
+    row = lambda *uids: spark.createDataFrame([(u, None) for u in uids], schemas.TABLES["camera_box"])
+    tables.overwrite_touched(row(1, 2, 250_000), "camera_box", database)
+    written = lambda: sorted(p.stat().st_mtime_ns for p in (tmp_path / "data/camera_box/block=2").glob("*.parquet"))
+    before = written()
+    old = tables.touched("camera_box", row(3), database)
+    assert sorted(r.camera_uid for r in old.collect()) == [1, 2]
+    assert "PartitionFilters: [isnotnull(block" in old._jdf.queryExecution().executedPlan().toString()
+    # The overwrite reads the partition it replaces.
+    out = tables.overwrite_touched(old.select("camera_uid", "camera_box").union(row(3)), "camera_box", database)
+    assert sorted(r.camera_uid for r in out.collect()) == [1, 2, 3, 250_000]
+    assert written() == before
+
+
 def test_days_are_rewritten_one_by_one(spark, tmp_path):
     path = str(tmp_path / "w")
     at = lambda d, h: datetime(2020, 1, d, h, tzinfo=timezone.utc)
@@ -252,13 +269,15 @@ def test_token_tables_end_to_end(spark, database, tmp_path):
     raster = L.remap_labels(payloads.labels(payloads.flat_label_file("marks")), pairs)
     sweeps = sweeps.join(marks.select("token", raster.alias("lidar_segmentation")), "token")
 
-    placed = lambda rows: rows.withColumn("seq", F.col("token")).join(
+    samples = materialise(samples)
+    placed = lambda rows: materialise(rows.withColumn("seq", F.col("token")).join(
         samples.select("sample_token", "time", "location"), "sample_token"
-    )
+    ))
+    cameras, sweeps = placed(cameras), placed(sweeps)
     tables.create_tables(spark, database, str(tmp_path / "data"))
     for _ in range(2):  # storing twice changes nothing
         out = ingest.store_batch(
-            spark, {"weather": samples, "camera": placed(cameras), "lidar": placed(sweeps)}, database, str(tmp_path / "data")
+            spark, {"weather": samples, "camera": cameras, "lidar": sweeps}, database, str(tmp_path / "data")
         )
     weather = out["weather"].orderBy("time").collect()
     assert [(r.weather_uid, r.weather, r.tod, r.split) for r in weather] == [(1, "Overcast", "day", "training"), (2, "Overcast", "day", "training")]
