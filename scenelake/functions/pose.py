@@ -100,8 +100,8 @@ def translation_of(pose: Column) -> Column:
     return F.array(pose[3], pose[7], pose[11])
 
 
-def pose_matrix(rotation: Column, translation: Column, inverse: bool = False) -> Column:
-    """4x4 matrix of a quaternion and translation, or of the opposite motion."""
+def pose_cells(rotation: Column, translation: Column, inverse: bool = False) -> list[Column]:
+    """The 16 cells of the 4x4 matrix of a quaternion and translation, or of the opposite motion."""
     r = rotation_cells(rotation)
     t = vector(translation)
     if inverse:
@@ -111,11 +111,15 @@ def pose_matrix(rotation: Column, translation: Column, inverse: bool = False) ->
         rows = [(r[3 * i], r[3 * i + 1], r[3 * i + 2]) for i in range(3)]
         shift = list(t)
     cells = [cell for row, s in zip(rows, shift) for cell in (*row, s)]
-    return F.array(*cells, *[F.lit(v) for v in (0.0, 0.0, 0.0, 1.0)])
+    return [*cells, *[F.lit(v) for v in (0.0, 0.0, 0.0, 1.0)]]
+
+
+def pose_matrix(rotation: Column, translation: Column, inverse: bool = False) -> Column:
+    return F.array(*pose_cells(rotation, translation, inverse))
 
 
-def matrix_product(a: Column, b: Column) -> Column:
-    """Product of two 4x4 matrices."""
+def matrix_product(a: Column | list[Column], b: Column | list[Column]) -> Column:
+    """Product of two 4x4 matrices, given as columns or as their cells."""
     return F.array(
         *[
             a[4 * r] * b[c] + a[4 * r + 1] * b[4 + c] + a[4 * r + 2] * b[8 + c] + a[4 * r + 3] * b[12 + c]

@@ -9,6 +9,7 @@ from scenelake.functions.pose import (
     conjugate,
     matrix_product,
     move,
+    pose_cells,
     pose_matrix,
     projection_matrix,
     quaternion_product,
@@ -197,8 +198,8 @@ def annotations(annotation: DataFrame, instance: DataFrame, category: DataFrame)
     )
 
 
-def _inverse(pose: str) -> Column:
-    return pose_matrix(F.col(f"{pose}.rotation"), F.col(f"{pose}.translation"), inverse=True)
+def _inverse(pose: str) -> list[Column]:
+    return pose_cells(F.col(f"{pose}.rotation"), F.col(f"{pose}.translation"), inverse=True)
 
 
 def _seen(boxes: DataFrame) -> DataFrame:
@@ -217,7 +218,7 @@ def lidar_boxes(sweeps: DataFrame, boxes: DataFrame) -> DataFrame:
     placed = sweeps.select(
         "token",
         "sample_token",
-        _inverse("lidar_vehicle_pose").alias("matrix"),
+        F.array(*_inverse("lidar_vehicle_pose")).alias("matrix"),
         conjugate(F.col("lidar_vehicle_pose.rotation")).alias("turn"),
     ).join(boxes, "sample_token")
     return _lists(
