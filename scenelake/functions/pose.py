@@ -25,6 +25,15 @@ def xyz(point: Column) -> Point:
     return tuple(point[axis].cast("double") for axis in "xyz")
 
 
+def from_cells(cells: list[Column], width: int) -> Column:
+    """Matrix column of cells in row order.
+
+    Joining rows keeps the matrix one value per row: a plain array would be
+    taken apart by the optimizer and its cells repeated in every use.
+    """
+    return F.concat(*[F.array(*cells[i : i + width]) for i in range(0, len(cells), width)])
+
+
 def rotation_cells(q: Column) -> list[Column]:
     """The nine cells of a quaternion's rotation; it need not be normalised."""
     w, x, y, z = q[0], q[1], q[2], q[3]
@@ -43,7 +52,7 @@ def rotation_cells(q: Column) -> list[Column]:
 
 
 def rotation_matrix(q: Column) -> Column:
-    return F.array(*rotation_cells(q))
+    return from_cells(rotation_cells(q), 3)
 
 
 def yaw_quaternion(yaw: Column) -> Column:
@@ -115,18 +124,19 @@ def pose_cells(rotation: Column, translation: Column, inverse: bool = False) ->
 
 
 def pose_matrix(rotation: Column, translation: Column, inverse: bool = False) -> Column:
-    return F.array(*pose_cells(rotation, translation, inverse))
+    return from_cells(pose_cells(rotation, translation, inverse), 4)
 
 
-def matrix_product(a: Column | list[Column], b: Column | list[Column]) -> Column:
-    """Product of two 4x4 matrices, given as columns or as their cells."""
-    return F.array(
-        *[
-            a[4 * r] * b[c] + a[4 * r + 1] * b[4 + c] + a[4 * r + 2] * b[8 + c] + a[4 * r + 3] * b[12 + c]
-            for r in range(4)
-            for c in range(4)
-        ]
-    )
+def matrix_product(a: Column, b: Column) -> Column:
+    """Product of two 4x4 matrix columns."""
+
+    def cell(i: Column) -> Column:
+        row, column = F.floor(i / 4).cast("int") * 4, i % 4
+        return sum(
+            (F.get(a, row + k) * F.get(b, column + 4 * k) for k in range(1, 4)), F.get(a, row) * F.get(b, column)
+        )
+
+    return F.transform(F.sequence(F.lit(0), F.lit(15)), cell)
 
 
 def move(m: Column, p: Point) -> Point:
@@ -162,13 +172,12 @@ def projection_matrix(intrinsic: Column, rows: int = 3, cols: int = 3) -> Column
     """Nested intrinsic matrix, up to 4x4, padded to 4x4 with the identity."""
     if rows > 4 or cols > 4:
         raise ValueError("an intrinsic matrix is at most 4x4")
-    return F.array(
-        *[
-            intrinsic[r][c].cast("double") if r < rows and c < cols else F.lit(1.0 if r == c else 0.0)
-            for r in range(4)
-            for c in range(4)
-        ]
-    )
+    cells = [
+        intrinsic[r][c].cast("double") if r < rows and c < cols else F.lit(1.0 if r == c else 0.0)
+        for r in range(4)
+        for c in range(4)
+    ]
+    return from_cells(cells, 4)
 
 
 def visible(depth: Column, u: Column, v: Column, width: Column, height: Column) -> Column:

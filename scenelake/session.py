@@ -33,6 +33,8 @@ def local_session(cores: int | str = "*", partitions: int = 8, app: str = "scene
     return (
         builder.config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.ui.enabled", "false")
+        # No Python stack walk per column expression; errors then lack the call site.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.driver.host", "127.0.0.1")
         .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="scenelake-wh-"))

@@ -9,7 +9,6 @@ from scenelake.functions.pose import (
     conjugate,
     matrix_product,
     move,
-    pose_cells,
     pose_matrix,
     projection_matrix,
     quaternion_product,
@@ -198,8 +197,8 @@ def annotations(annotation: DataFrame, instance: DataFrame, category: DataFrame)
     )
 
 
-def _inverse(pose: str) -> list[Column]:
-    return pose_cells(F.col(f"{pose}.rotation"), F.col(f"{pose}.translation"), inverse=True)
+def _inverse(pose: str) -> Column:
+    return pose_matrix(F.col(f"{pose}.rotation"), F.col(f"{pose}.translation"), inverse=True)
 
 
 def _seen(boxes: DataFrame) -> DataFrame:
@@ -218,7 +217,7 @@ def lidar_boxes(sweeps: DataFrame, boxes: DataFrame) -> DataFrame:
     placed = sweeps.select(
         "token",
         "sample_token",
-        F.array(*_inverse("lidar_vehicle_pose")).alias("matrix"),
+        _inverse("lidar_vehicle_pose").alias("matrix"),
         conjugate(F.col("lidar_vehicle_pose.rotation")).alias("turn"),
     ).join(boxes, "sample_token")
     return _lists(
@@ -240,12 +239,13 @@ def camera_boxes(cameras: DataFrame, boxes: DataFrame) -> DataFrame:
     mounted = cameras.select(
         "token",
         "sample_token",
-        matrix_product(_inverse("camera_parameters"), _inverse("camera_vehicle_pose")).alias("matrix"),
+        _inverse("camera_parameters").alias("to_camera"),
+        _inverse("camera_vehicle_pose").alias("to_vehicle"),
         turn.alias("turn"),
         projection_matrix(F.col("camera_parameters.intrinsic")).alias("projection"),
         F.col("width").alias("image_width"),
         F.col("height").alias("image_height"),
-    )
+    ).withColumn("matrix", matrix_product(F.col("to_camera"), F.col("to_vehicle")))
     seen = _seen(mounted.join(boxes, "sample_token"))
     half = lambda i, bit, side: (F.shiftright(i, bit).bitwiseAND(F.lit(1)).cast("double") - 0.5) * F.col(side)
 
