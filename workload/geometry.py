@@ -130,7 +130,11 @@ def to_ego_as_coded(spark, sf_dir):
     return _ego(spark, sf_dir, "as_coded")
 
 
-@query("cloud_transform", _points_sql(forward("q", "t", _P)).replace(", 6) + 0.0", ", 4) + 0.0"))
+@query(
+    "cloud_transform",
+    # Stored coordinates are single precision, so the twin rounds through it as well.
+    _points_sql([f"({c})::FLOAT::DOUBLE" for c in forward("q", "t", _P)]).replace(", 6) + 0.0", ", 4) + 0.0"),
+)
 def cloud_transform(spark, sf_dir):
     """The same move inside the cloud's row, kept as single-precision points."""
     placed = sweeps(spark, sf_dir).withColumn("m", P.pose_matrix(_doubles(*_Q), _doubles(*_T)))
