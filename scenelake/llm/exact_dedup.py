@@ -40,8 +40,9 @@ def frequent_digests(narrow: DataFrame, counters: int = COUNTERS) -> DataFrame:
         narrow.select(F.xxhash64("_digest").alias("h"))
         .groupBy((F.spark_partition_id() % SUMMARY_GROUPS).alias("g"))
         .agg(F.expr(f"approx_top_k_accumulate(h, {counters})").alias("s"), F.count("*").alias("n"))
+        # Grouped, as partitions without a row have no summary to merge.
+        .groupBy((F.col("g") * 0).alias("g"))
         .agg(F.expr(f"approx_top_k_combine(s, {counters})").alias("s"), F.sum("n").alias("n"))
-        .where("n > 0")
         .select("n", F.explode(F.expr(f"approx_top_k_estimate(s, {counters})")).alias("x"))
         .where(F.col("x.count") * counters > F.col("n"))
         .select(F.col("x.item").alias("_h"))
