@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scenelake.llm import exact_dedup
-from scenelake.llm.common import table
+from scenelake.llm import exact_dedup, license_scan, token_orc
+from scenelake.llm.common import table, working_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -23,6 +23,18 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_token_orc")
+def op1_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = working_folder(spark, "tokens")
+    token_orc.write_tokens(table(spark, sf_dir, "documents"), folder)
+    return token_orc.checksums(token_orc.read_tokens(spark, folder))
+
+
 @query("op2_exact_dedup", exact_dedup.SQL)
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op5_license_scan", license_scan.sql())
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
