@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from scenelake.llm import exact_dedup, license_scan, token_orc
+from scenelake.llm import exact_dedup, license_scan, token_orc, topk, warc
 from scenelake.llm.common import table, working_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,3 +39,15 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_license_scan", license_scan.sql())
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op9_warc", warc.SQL)
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = working_folder(spark, "warc")
+    warc.archive_pages(table(spark, sf_dir, "pages"), folder)
+    return warc.read_pages(spark, folder)
+
+
+@query("op10_topk_norms", topk.SQL)
+def op10_topk_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
