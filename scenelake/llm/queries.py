@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scenelake.llm import exact_dedup, license_scan, token_orc, topk, warc
+from scenelake.llm import exact_dedup, license_scan, mixing, token_orc, topk, warc
 from scenelake.llm.common import table, working_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,6 +41,12 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+@query("op6_source_mix")
+def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
 @query("op9_warc", warc.SQL)
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = working_folder(spark, "warc")
