@@ -7,11 +7,11 @@ integer column, which ORC stores with its own run-length encoding. Positions
 are kept relative to the slice; a small ``slices`` table (one row per written
 slice) turns them into global ones, so nothing is numbered in one task.
 
-A blank followed by a word always starts a token in the byte-level vocabulary
-(its split pattern attaches the blank to the word), so a text may be cut
-before every such blank. The pieces are encoded by the tokenizers library, each
-distinct one once per worker while it is remembered; ids are those of the
-whole text. ``tests/llm`` compares both.
+The split pattern of the byte-level vocabulary puts a single blank in front of
+the word after it, so a text without double blanks may be cut before each
+blank. Its words are encoded by the tokenizers library, each distinct one once
+per worker while it is remembered; ids are those of the whole text.
+``tests/llm`` compares both. Texts with double blanks are encoded whole.
 
 Defined cases: a null or empty text holds the end id only; null doc_ids come
 first; rows with equal doc_id are ordered by a hash of their text; an empty
@@ -21,10 +21,9 @@ table gives an empty data set; other columns are ignored.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import pairwise
 
 import numpy as np
 import public_tokenizers
@@ -38,50 +37,71 @@ from scenelake.llm.common import whole
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
-REMEMBERED = 300_000  # pieces a worker remembers; then it starts anew
-AT_ONCE = 20_000  # pieces encoded in one call
+REMEMBERED = 700_000  # words a worker remembers; then it starts anew
+AT_ONCE = 20_000  # words encoded in one call
 STRIPE_BYTES = 32 << 20
 SHARD_SCHEMA = "slice int, doc_id long, offset long, n_tokens long, ids array<int>"
 
-_CUT = re.compile(r"(?<=\S)(?= )")
-_WORKER: dict[str, tuple] = {}
 
+class Encoder:
+    """Ids of whole texts as little-endian 32-bit integers, with the ids of recent words remembered."""
 
-def _encoder(path: str):
-    """The tokenizer and the remembered pieces of this Python worker."""
-    if path not in _WORKER:
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _WORKER[path] = (Tokenizer.from_file(path), {})
+        self.tokenizer = Tokenizer.from_file(path)
+        self.known: dict[str, bytes] = {}  # ids of a word after a blank
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that begin with a blank
+        self.opens[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
+
+    def plain(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(x.ids, dtype="<i4").tobytes() for x in found]
+
+    def learn(self, words: list[str]) -> None:
+        for at in range(0, len(words), AT_ONCE):
+            some = words[at : at + AT_ONCE]
+            together = self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0]
+            ids = np.array(together.ids, dtype="<i4")
+            starts = np.flatnonzero(self.opens[ids]) * 4
+            if len(starts) == len(some) and starts[0] == 0:
+                raw, cuts = ids.tobytes(), [*starts.tolist(), 4 * len(ids)]
+                self.known.update(zip(some, (raw[a:b] for a, b in pairwise(cuts)), strict=True))
+            else:  # an added token of the vocabulary stands in a word
+                self.known.update(zip(some, self.plain([" " + w for w in some]), strict=True))
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        parts = [[] if "  " in t else t.split(" ") for t in texts]
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        words = set().union(*parts) - self.known.keys()
+        self.learn(list(words - {""}))
+        self.known[""] = self.known.get("") or self.plain([" "])[0]
+        heads = [p[0] if p else t for p, t in zip(parts, texts, strict=True)]
+        look = self.known.__getitem__
+        return [h + b"".join(map(look, p[1:])) for h, p in zip(self.plain(heads), parts, strict=True)]
+
+
+_WORKER: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The encoder of this Python worker; it outlives a task."""
+    if path not in _WORKER:
+        _WORKER[path] = Encoder(path)
     return _WORKER[path]
 
 
-def encode_all(texts: list[str], path: str) -> list[np.ndarray]:
-    """Ids of each whole text, without special tokens."""
-    tokenizer, known = _encoder(path)
-    parts = [_CUT.split(t) if t else [] for t in texts]
-    if len(known) > REMEMBERED:
-        known.clear()
-    new = [p for p in set().union(*parts) if p not in known]
-    for at in range(0, len(new), AT_ONCE):
-        some = new[at : at + AT_ONCE]
-        for piece, got in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-            known[piece] = got.ids
-    look = known.__getitem__
-    return [np.fromiter(chain.from_iterable(map(look, p)), dtype=np.int32) for p in parts]
-
-
 def _encode(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, at = TaskContext.get().partitionId(), 0
+        number, at, end = TaskContext.get().partitionId(), 0, np.array([end_id], dtype="<i4").tobytes()
         for batch in batches:
-            ids = encode_all(batch.column("text").to_pylist(), path)
-            lengths = np.array([len(x) + 1 for x in ids], dtype=np.int64)
+            ids = encoder(path)(batch.column("text").to_pylist())
+            lengths = np.array([len(x) // 4 + 1 for x in ids], dtype=np.int64)
             ends = np.cumsum(lengths)
-            flat = np.full(int(ends[-1]) if len(ends) else 0, end_id, dtype=np.int32)
-            for x, start in zip(ids, ends - lengths, strict=True):
-                flat[start : start + len(x)] = x
+            flat = np.frombuffer(end.join([*ids, b""]), dtype="<i4")
             offsets = np.concatenate([[0], ends]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
