@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scenelake.llm import exact_dedup, language, license_scan, mixing, pieces, simhash, token_orc, topk, warc
+from scenelake.llm import exact_dedup, language, license_scan, mixing, pieces, simhash, substrings, token_orc, topk, warc
 from scenelake.llm.common import table, working_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,6 +62,11 @@ def op7_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query("op8_substring_dedup", substrings.SQL)
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 @query("op9_warc", warc.SQL)
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = working_folder(spark, "warc")
