@@ -15,14 +15,20 @@ WORDS = r"[^\x20\x09-\x0D]+"
 
 ARROW_ROWS = 500  # documents per Arrow batch; a batch is what a Python worker holds at once
 
-ARROW_BYTES = 16 << 20
+ARROW_BYTES = 4 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df`` in a session whose Arrow batches are small, so that long texts stay within a worker's memory."""
+    conf = configure(df.sparkSession).conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    return df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table, with small Arrow batches so that long texts stay within a worker's memory."""
-    configure(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table."""
+    return small_batches(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def working_folder(spark: SparkSession, kind: str) -> str:
