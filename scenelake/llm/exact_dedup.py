@@ -97,15 +97,17 @@ def drop_copies(documents: DataFrame, counters: int = COUNTERS) -> DataFrame:
     """
     groups = exact_groups(documents, counters)
     stay = groups.where("kept").select(F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_sha"))
-    stamped = documents.withColumn("_key", digest("text"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_sha"))
-    # One row per (doc_id, text, length): the row limit of a first-row window runs before its shuffle.
-    one = Window.partitionBy("doc_id", "_key").orderBy(F.char_length(whole("text")).desc())
+    packed = documents.select(
+        F.struct("*").alias("_doc"), F.col("doc_id").cast("long").alias("_doc_id"), digest("text").alias("_key")
+    )
+    same = F.col("_doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_sha"))
+    # One row per (doc_id, text), the longest: the row limit of a first-row window runs before its shuffle.
+    one = Window.partitionBy("_doc_id", "_key").orderBy(F.char_length(whole("_doc.text")).desc())
     return (
-        stamped.join(stay, same, "left_semi")
+        packed.join(stay, same, "left_semi")
         .withColumn("_rn", F.row_number().over(one))
         .where("_rn = 1")
-        .select(*[F.col(f"`{c}`") for c in documents.columns])
+        .select("_doc.*")
     )
 
 

@@ -230,15 +230,17 @@ def apply_mix(
         .groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"))
         .agg(F.sum("copies").alias("_all"), F.count("*").alias("_rows"))
     )
+    packed = documents.select(
+        F.struct("*").alias("_doc"),
+        F.col("doc_id").cast("long").alias("_doc_id"),
+        F.col("source").cast("string").alias("_from"),
+        size("text").alias("_own"),
+    )
     same = (
-        F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
-        & F.col("source").cast("string").eqNullSafe(F.col("_source"))
+        F.col("_doc_id").eqNullSafe(F.col("_id"))
+        & F.col("_from").eqNullSafe(F.col("_source"))
         & (F.col("_own") == F.col("_size"))
     )
-    return (
-        documents.withColumn("_own", size("text"))
-        .join(chosen, same)
-        # Repeated rows share their copies, rounded down; the mix stays within the cap.
-        .withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.floor(F.col("_all") / F.col("_rows")).cast("int"))))
-        .select(*[F.col(f"`{c}`") for c in documents.columns])
-    )
+    # Repeated rows share their copies, rounded down; the mix stays within the cap.
+    copies = F.floor(F.col("_all") / F.col("_rows")).cast("int")
+    return packed.join(chosen, same).select("_doc", F.explode(F.array_repeat(F.lit(0), copies))).select("_doc.*")

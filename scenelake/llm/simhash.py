@@ -261,14 +261,8 @@ def one_of_each(documents: DataFrame) -> DataFrame:
     stay = near_duplicates(documents).where("doc_id IS NULL OR doc_id = component_id").select(
         F.col("doc_id").alias("_id")
     ).distinct()
-    one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    kept = documents.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
-    unnamed = kept.where("doc_id IS NULL")
-    return (
-        kept.where("doc_id IS NOT NULL")
-        .withColumn("_rn", F.row_number().over(one))
-        .where("_rn = 1")
-        .drop("_rn")
-        .unionByName(unnamed)
-        .select(*[F.col(f"`{c}`") for c in documents.columns])
-    )
+    packed = documents.select(F.struct("*").alias("_doc"), F.col("doc_id").cast("long").alias("_doc_id"))
+    kept = packed.join(stay, F.col("_doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    one = Window.partitionBy("_doc_id").orderBy(F.xxhash64("_doc.text"))
+    named = kept.where("_doc_id IS NOT NULL").withColumn("_rn", F.row_number().over(one)).where("_rn = 1")
+    return named.select("_doc.*").unionByName(kept.where("_doc_id IS NULL").select("_doc.*"))
