@@ -145,9 +145,8 @@ class Bitmap:
     def __init__(self, words: bytes):
         self.words = np.frombuffer(words, np.uint8)
 
-    @staticmethod
-    def slots(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        bits = _U(BITS - 1)
+    def slots(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        bits = _U(8 * len(self.words) - 1)
         return (h >> _U(2)) & bits, (h >> _U(33)) & bits
 
     def has(self, h: np.ndarray) -> np.ndarray:

@@ -21,8 +21,8 @@ Components become floor(1024 * x). Sums are exact while they fit 63 bits.
 Defined cases: vectors that are null, empty or hold a null or non-finite
 component take no part; vectors of different dimension are never compared;
 rows with a null vec_id take no part; a row never answers a query of its own
-vec_id, so repeated rows do not answer each other; repeated query rows
-share one answer; ties go to the smaller vec_id; empty tables give none.
+vec_id, so repeated rows do not answer each other; equal query rows share
+one answer, different vectors under one vec_id are ranked apart; ties go to the smaller vec_id; empty tables give none.
 """
 
 from __future__ import annotations
@@ -162,15 +162,17 @@ def candidates(q: np.ndarray, norm: float, theta: float, vectors: np.ndarray, no
 def _bucket_best(k: int):
     def run(batches):
         for batch in batches:
-            out_q, out_v, out_s = [], [], []
+            out_q, out_n, out_v, out_s = [], [], [], []
             for i in range(batch.num_rows):
+                number = batch.column("block")[i].as_py() << 32
                 ids = np.array(batch.column("bucket_ids")[i].as_py())
                 norms = np.array(batch.column("bucket_norms")[i].as_py())
                 vectors = _matrix(batch.column("bucket_q"), i)
                 qids = batch.column("block_ids")[i].as_py()
                 qnorms = batch.column("block_norms")[i].as_py()
                 theta = batch.column("theta")[i].as_py()
-                for qid, norm, t, q in zip(qids, qnorms, theta, _matrix(batch.column("block_q"), i), strict=True):
+                queries = zip(qids, qnorms, theta, _matrix(batch.column("block_q"), i), strict=True)
+                for n, (qid, norm, t, q) in enumerate(queries):
                     keep = candidates(q, norm, t, vectors, norms)
                     keep = keep[ids[keep] != qid]
                     if not len(keep):
@@ -179,10 +181,12 @@ def _bucket_best(k: int):
                     best = _best(scores, ids[keep], k)
                     best = best[scores[best] >= t]
                     out_q += [qid] * len(best)
+                    out_n += [number + n] * len(best)
                     out_v += ids[keep][best].tolist()
                     out_s += scores[best].tolist()
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x, pa.int64()) for x in (out_q, out_v, out_s)], names=["query_id", "vec_id", "score"]
+                [pa.array(x, pa.int64()) for x in (out_q, out_n, out_v, out_s)],
+                names=["query_id", "number", "vec_id", "score"],
             )
 
     return run
@@ -225,9 +229,9 @@ def top_k(
     )
     pairs = told.join(reach, "dim").where(needs).drop("_longest")
     found = pairs.join(buckets, ["dim", "bucket"]).select(
-        "block_ids", "block_norms", "block_q", "theta", "bucket_ids", "bucket_norms", "bucket_q"
-    ).mapInArrow(_bucket_best(k), "query_id long, vec_id long, score long")
-    by_query = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+        "block", "block_ids", "block_norms", "block_q", "theta", "bucket_ids", "bucket_norms", "bucket_q"
+    ).mapInArrow(_bucket_best(k), "query_id long, number long, vec_id long, score long")
+    by_query = Window.partitionBy("query_id", "number").orderBy(F.col("score").desc(), "vec_id")
     return (
         found.withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k)
         .select("query_id", "rank", "vec_id", "score")
