@@ -37,7 +37,7 @@ from scenelake.llm.common import whole
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
-REMEMBERED = 700_000  # words a worker remembers; then it starts anew
+REMEMBERED = 1_500_000  # words a worker remembers (some 300 MB); then it starts anew
 AT_ONCE = 20_000  # words encoded in one call
 STRIPE_BYTES = 32 << 20
 SHARD_SCHEMA = "slice int, doc_id long, offset long, n_tokens long, ids array<int>"
