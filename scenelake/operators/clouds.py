@@ -125,7 +125,9 @@ def split_intensity(rows: Column) -> Column:
 
 def flip(points: Column, key: Column, seed: int) -> Column:
     """One of four flips per cloud (none, -x, -y, both), fixed by seed and key."""
-    draw = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(4))
+    # The first hex digit of an MD5, which any engine can repeat.
+    digit = F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), key.cast("string"))), 1, 1)
+    draw = F.pmod(F.instr(F.lit("0123456789abcdef"), digit) - 1, F.lit(4))
     sign_x = F.when(draw.isin(1, 3), F.lit(-1.0)).otherwise(F.lit(1.0)).cast("float")
     sign_y = F.when(draw.isin(2, 3), F.lit(-1.0)).otherwise(F.lit(1.0)).cast("float")
     return F.transform(

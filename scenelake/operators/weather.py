@@ -19,10 +19,15 @@ def with_gps(samples: DataFrame, places: DataFrame | None = None, strict: bool =
     return samples.join(places, "location", "left")
 
 
-def with_hourly_weather(samples: DataFrame, archive: DataFrame) -> DataFrame:
-    """Add weather_code and is_day from the archive row (location, hour) holding the sample's time."""
+def with_hourly_weather(samples: DataFrame, archive: DataFrame, strict: bool = True) -> DataFrame:
+    """Add weather_code and is_day from the archive row (location, hour) holding the sample's time.
+
+    A sample without such a row fails the job; lenient mode leaves it NULL.
+    """
     hourly = archive.select("location", F.col("hour").alias("_hour"), "weather_code", "is_day")
-    return samples.withColumn("_hour", F.date_trunc("hour", "time")).join(hourly, ["location", "_hour"]).drop("_hour")
+    timed, key = samples.withColumn("_hour", F.date_trunc("hour", "time")), ["location", "_hour"]
+    joined = require(timed, hourly, key, "archive hour") if strict else timed.join(hourly, key, "left")
+    return joined.drop("_hour")
 
 
 def with_weather_text(samples: DataFrame, codes: DataFrame | None = None, strict: bool = True) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, Row
@@ -17,16 +17,15 @@ from scenelake.plans.shards import shuffled, with_shards
 
 SPLITS = ("all", "training", "validation", "testing")
 
-# Up to here a limit is a bounded top-k; beyond it the rows are numbered in place.
-TOP_K_ROWS = 100_000
-
 
 @dataclass(frozen=True)
 class SceneQuery:
-    """Immutable request; every method plans lazily from the catalog's DataFrames.
+    """Immutable request; plans from the catalog's DataFrames.
 
     ``limit=0`` means no limit. A limit or an offset always sorts by a total
     order: the asked-for column, else a default uid, then the tables' keys.
+    Such a page is cut from row numbers, whatever its size, which takes jobs
+    when the request is built; counts and types never number anything.
     """
 
     catalog: Catalog
@@ -39,7 +38,6 @@ class SceneQuery:
     limit: int = 0
     offset: int = 0
     late_payloads: bool = True
-    top_k_rows: int = field(default=TOP_K_ROWS, repr=False)
 
     def __post_init__(self) -> None:
         if not isinstance(self.data, Mapping) or not self.data:
@@ -100,11 +98,16 @@ class SceneQuery:
     # -- order --------------------------------------------------------------
 
     def default_order(self) -> tuple[str, str]:
-        """The uid a limit sorts by when no order is given."""
-        for table in self.data:
+        """The uid a limit sorts by when no order is given.
+
+        A split or dataset filter brings its table into the choice.
+        """
+        filtered = [t for t, c in self._filters if c in ("split", "dataset")]
+        tables = list(dict.fromkeys([*self.data, *filtered]))
+        for table in tables:
             if table in ("weather", "camera", "lidar"):
                 return table, "weather_uid"
-        for table in self.data:
+        for table in tables:
             if "camera" in table:
                 return table, "camera_uid"
             if "lidar" in table:
@@ -148,15 +151,11 @@ class SceneQuery:
         ]
 
     def _page(self, df: DataFrame, order: list[Column]) -> DataFrame:
-        if self.limit and self.limit + self.offset <= self.top_k_rows:
-            page = df.orderBy(*order)
-            return page.offset(self.offset).limit(self.limit) if self.offset else page.limit(self.limit)
-        # A bare offset or a huge limit would gather everything in one task.
+        """Rows offset to offset + limit of the order, cut from distributed row numbers."""
         indexed, _ = ordered_index(df, order)
-        end = self.offset + self.limit
         inside = F.col("row_idx") >= self.offset
         if self.limit:
-            inside = inside & (F.col("row_idx") < end)
+            inside = inside & (F.col("row_idx") < self.offset + self.limit)
         return indexed.where(inside).drop("row_idx")
 
     def _narrow(self) -> tuple[DataFrame, list[Column], list[tuple[str, str]]]:
@@ -204,14 +203,17 @@ class SceneQuery:
 
     def count_frame(self) -> DataFrame:
         """Row count of the request including limit and offset, as a one-row DataFrame."""
-        page, _, _ = self._paged()
-        return page.agg(F.count("*").alias("n_rows"))
+        left = F.greatest(F.count("*") - F.lit(self.offset), F.lit(0))
+        return self._matching().agg((F.least(left, F.lit(self.limit)) if self.limit else left).cast("long").alias("n_rows"))
 
     def count(self) -> int:
         return self.count_frame().first()["n_rows"]
 
     def dtypes(self) -> list[tuple[str, str]]:
-        return self.build().dtypes
+        return self._unpaged().build().dtypes
+
+    def _unpaged(self) -> SceneQuery:
+        return replace(self, limit=0, offset=0, orderby=None)
 
     def dataset_samples(self) -> DataFrame:
         """Samples per dataset over the whole catalog."""
@@ -219,12 +221,23 @@ class SceneQuery:
         return table.groupBy("dataset").agg(F.count("dataset").alias("samples"))
 
     def mean_first(self) -> DataFrame:
-        """Mean of the first requested column, 0 for an empty result; arrays average by position."""
-        first, kind = self.names[0], self.build().schema[0].dataType
-        rows = self.build().select(F.col(f"`{first}`").alias("v"))
-        if isinstance(kind, T.ArrayType):
-            return rows.select(F.posexplode("v").alias("pos", "x")).groupBy("pos").agg(F.avg("x").alias("mean"))
-        return rows.agg(F.coalesce(F.avg("v"), F.lit(0.0)).alias("mean"))
+        """Mean of the first requested column, 0 for an empty result.
+
+        Arrays average by position (``pos``, ``pos_1``, ... for nested ones),
+        structs by field (``mean_<field>``).
+        """
+        table, column = self.columns[0]
+        kind = self.catalog.table(table).schema[column].dataType
+        rows, at = self.build().select(F.col(f"`{self.names[0]}`").alias("v")), []
+        while isinstance(kind, T.ArrayType):
+            at.append(f"pos_{len(at)}" if at else "pos")
+            rows = rows.select(*at[:-1], F.posexplode("v").alias(at[-1], "v"))
+            kind = kind.elementType
+        if isinstance(kind, T.StructType):
+            means = [F.avg(f"v.{f}").alias(f"mean_{f}") for f in kind.names]
+        else:
+            means = [(F.avg("v") if at else F.coalesce(F.avg("v"), F.lit(0.0))).alias("mean")]
+        return rows.groupBy(*at).agg(*means)
 
     # -- delivery -----------------------------------------------------------
 
@@ -239,8 +252,11 @@ class SceneQuery:
     def shard(self, index: int, shards: int) -> DataFrame:
         return self.with_shards(shards).where(F.col("shard") == index).orderBy("row_idx").drop("row_idx", "shard")
 
-    def shuffle(self, seed: int, key: Sequence[str]) -> DataFrame:
-        return shuffled(self.build(), key, seed)
+    def shuffle(self, seed: int, key: Sequence[str], shards: int = 0) -> DataFrame:
+        """Rows in a seeded order with their ``position``; with ``shards``, numbered inside each shard."""
+        if not shards:
+            return shuffled(self.build(), key, seed)
+        return shuffled(self.with_shards(shards).drop("row_idx"), key, seed, ["shard"])
 
     def iterate(self) -> Iterator[Row]:
         """Rows in order, one partition in driver memory at a time."""

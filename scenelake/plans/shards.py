@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scenelake.plans.ordered import ordered_index
+from scenelake.plans.ordered import ordered_index, ranked
 
 
 def rows_per_shard(count: int, shards: int, limit: int = 0) -> int:
@@ -28,7 +28,13 @@ def with_shards(df: DataFrame, order: Sequence[Column], shards: int) -> DataFram
 
 
 def shuffled(df: DataFrame, key: Sequence[str], seed: int, within: Sequence[str] = ()) -> DataFrame:
-    """Seeded permutation of the rows, per ``within`` group; the same seed gives the same order."""
-    draw = F.xxhash64(F.lit(seed), *[F.col(c) for c in key])
-    order = [F.col(c) for c in within] + [draw] + [F.col(c) for c in key]
-    return df.orderBy(*order)
+    """Seeded permutation of the rows, per ``within`` group, as a ``position`` from 0.
+
+    The draw is an MD5 of seed and key, so any engine can repeat it.
+    """
+    draw = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in key]))
+    order = [draw, *[F.col(c) for c in key]]
+    if not within:
+        return ordered_index(df, order, "position")[0].orderBy("position")
+    numbered = ranked(df, within, order, "position").withColumn("position", F.col("position") - 1)
+    return numbered.orderBy(*within, "position")

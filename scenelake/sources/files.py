@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scenelake.functions import paths
+from scenelake.operators.lookup import require
 
 
 def list_files(spark: SparkSession, root: str, extension: str) -> DataFrame:
@@ -28,8 +29,13 @@ def split_files(spark: SparkSession, root: str, extension: str) -> DataFrame:
     )
 
 
-def attach_blobs(spark: SparkSession, metadata: DataFrame, root: str, extension: str, column: str = "image") -> DataFrame:
-    """Join file contents onto metadata rows by their ``filename`` relative to ``root``."""
+def attach_blobs(
+    spark: SparkSession, metadata: DataFrame, root: str, extension: str, column: str = "image", strict: bool = True
+) -> DataFrame:
+    """Join file contents onto metadata rows by their ``filename`` relative to ``root``.
+
+    A row without a file fails the job; lenient mode leaves its contents NULL.
+    """
     blobs = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", "*." + extension.lstrip("."))
@@ -40,7 +46,8 @@ def attach_blobs(spark: SparkSession, metadata: DataFrame, root: str, extension:
     # The listing reports full URIs, the metadata the part below the root.
     base = root.rstrip("/") + "/"
     relative = F.regexp_replace("path", f"^.*?{_literal(base)}", "")
-    return metadata.join(blobs.withColumn("filename", relative).drop("path"), "filename")
+    named = blobs.withColumn("filename", relative).drop("path")
+    return require(metadata, named, "filename", "file") if strict else metadata.join(named, "filename", "left")
 
 
 def _literal(text: str) -> str:

@@ -112,7 +112,7 @@ def test_order_limit_offset(cat):
     assert one(limit=2, offset=1) == everything[1:3]
     assert one(offset=3) == everything[3:]
     assert one(offset=9) == []
-    assert one(limit=3, offset=1, top_k_rows=1) == everything[1:4]
+    assert one(limit=3, offset=1) == everything[1:4]
 
 
 def test_nulls_sort_last(cat):

@@ -90,8 +90,10 @@ def test_listing_blobs_and_images(spark, tmp_path):
     listed = files.split_files(spark, str(tmp_path), "tfrecord")
     assert sorted((r.split, r.context) for r in listed.collect()) == [("training", "ctx1"), ("validation", "ctx2")]
     meta = spark.createDataFrame([("samples/a.jpg", 1), ("samples/b.jpg", 2)], "filename STRING, uid INT")
-    rows = files.attach_blobs(spark, meta, str(tmp_path), "jpg").collect()
-    assert [(r.uid, bytes(r.image)) for r in rows] == [(1, b"samples/a.jpg")]
+    rows = files.attach_blobs(spark, meta, str(tmp_path), "jpg", strict=False).orderBy("uid").collect()
+    assert [(r.uid, r.image and bytes(r.image)) for r in rows] == [(1, b"samples/a.jpg"), (2, None)]
+    with pytest.raises(Exception, match="unknown file: samples/b.jpg"):
+        files.attach_blobs(spark, meta, str(tmp_path), "jpg").collect()
 
 
 def test_image_pixels(spark, tmp_path):

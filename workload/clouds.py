@@ -238,9 +238,21 @@ def downsample(spark, sf_dir):
     )
 
 
-@query("flip_points")
+_DRAW = "(instr('0123456789abcdef', substr(md5('7|' || vec_id), 1, 1)) - 1) % 4"
+
+
+@query(
+    "flip_points",
+    f"WITH {POINTS_SQL} SELECT vec_id, pt_idx, round(CASE WHEN {_DRAW} IN (1, 3) THEN -x ELSE x END, 5) + 0.0 AS x, "
+    f"round(CASE WHEN {_DRAW} IN (2, 3) THEN -y ELSE y END, 5) + 0.0 AS y, round(z, 5) + 0.0 AS z FROM points",
+)
 def flip_points(spark, sf_dir):
-    """Seeded flips depend on Spark's hash, so only the rows are checked here."""
+    return _flipped(spark, sf_dir).select(
+        "vec_id", F.col("pt_idx").cast("long").alias("pt_idx"), *[(F.round(a, 5) + 0.0).alias(a) for a in "xyz"]
+    )
+
+
+def _flipped(spark, sf_dir):
     flipped = sweeps(spark, sf_dir).withColumn("points", clouds.flip(F.col("points"), F.col("vec_id"), seed=7))
     return geometry.explode_points(flipped, "vec_id")
 
@@ -251,7 +263,7 @@ def flip_points(spark, sf_dir):
 )
 def flip_magnitudes(spark, sf_dir):
     """What a flip must leave alone."""
-    flipped = flip_points(spark, sf_dir)
+    flipped = _flipped(spark, sf_dir)
     return flipped.select(
         "vec_id",
         F.col("pt_idx").cast("long").alias("pt_idx"),

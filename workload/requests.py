@@ -320,14 +320,23 @@ def default_order(spark, sf_dir):
     return SceneQuery(scenes(spark, sf_dir), {"camera": ["camera_id", "price"]}, limit=150).build()
 
 
+@query(
+    "default_order_filtered",
+    view_sql("samples", "cameras") + "SELECT camera_id, c.price FROM cameras c JOIN samples w USING (weather_uid) "
+    "WHERE w.split = 'training' ORDER BY w.weather_uid, camera_uid LIMIT 150",
+)
+def default_order_filtered(spark, sf_dir):
+    """A split filter brings the samples in, and their uid orders the page."""
+    return SceneQuery(scenes(spark, sf_dir), {"camera": ["camera_id", "price"]}, splits=["training"], limit=150).build()
+
+
 @query(
     "offset_page",
-    view_sql("samples") + "SELECT weather_uid, price FROM samples WHERE dataset = 'waymo' "
-    "ORDER BY time, weather_uid OFFSET 250",
+    view_sql("samples") + "SELECT weather_uid, price FROM samples ORDER BY time, weather_uid OFFSET 250",
 )
 def offset_page(spark, sf_dir):
     return SceneQuery(
-        scenes(spark, sf_dir), {"weather": ["weather_uid", "price"]}, datasets=["waymo"], orderby="time", offset=250
+        scenes(spark, sf_dir), {"weather": ["weather_uid", "price"]}, orderby="time", offset=250
     ).build()
 
 
@@ -346,9 +355,8 @@ def limit_offset(spark, sf_dir):
     view_sql("samples") + "SELECT weather_uid FROM samples ORDER BY price, weather_uid LIMIT 9000 OFFSET 40",
 )
 def large_limit(spark, sf_dir):
-    """A page too large for one task, cut from distributed row numbers."""
     return SceneQuery(
-        scenes(spark, sf_dir), {"weather": ["weather_uid"]}, orderby="price", limit=9000, offset=40, top_k_rows=1000
+        scenes(spark, sf_dir), {"weather": ["weather_uid"]}, orderby="price", limit=9000, offset=40
     ).build()
 
 
@@ -380,10 +388,10 @@ def distinct_locations(spark, sf_dir):
 
 @query(
     "mean_first",
-    view_sql("samples") + "SELECT round(coalesce(avg(price), 0), 4) AS mean FROM samples WHERE tod = 'night'",
+    view_sql("samples") + "SELECT round(coalesce(avg(price), 0), 4) AS mean FROM samples",
 )
 def mean_first(spark, sf_dir):
-    request = SceneQuery(scenes(spark, sf_dir), {"weather": ["price", "tod"]}, scenario="night")
+    request = SceneQuery(scenes(spark, sf_dir), {"weather": ["price", "tod"]})
     return request.mean_first().select(F.round("mean", 4).alias("mean"))
 
 
@@ -398,14 +406,29 @@ def mean_array(spark, sf_dir):
     return means.select(F.col("pos").cast("long").alias("pos"), (F.round("mean", 5) + 0.0).alias("mean"))
 
 
+@query(
+    "mean_tensor",
+    "SELECT ((p - 1) // 8)::BIGINT AS pos, ((p - 1) % 8)::BIGINT AS pos_1, (round(avg(embedding[p]::DOUBLE), 5) + 0.0) AS mean "
+    "FROM embeddings, range(1, 65) r(p) GROUP BY p",
+)
+def mean_tensor(spark, sf_dir):
+    """The vectors as 8 by 8 tensors."""
+    tensor = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice("embedding", i * 8 + 1, 8))
+    frames = table(spark, sf_dir, "embeddings").select("vec_id", tensor.alias("tensor"))
+    means = SceneQuery(Catalog({"t": frames}, {"t": ["vec_id"]}, []), {"t": ["tensor"]}).mean_first()
+    return means.select(
+        *[F.col(c).cast("long").alias(c) for c in ("pos", "pos_1")], (F.round("mean", 5) + 0.0).alias("mean")
+    )
+
+
 @query(
     "late_payload",
     "SELECT vec_id AS camera_uid, label, round(embedding[1]::DOUBLE, 5) + 0.0 AS first, len(embedding) AS n FROM embeddings "
-    "WHERE label IN (1, 3, 5) ORDER BY label DESC, vec_id LIMIT 60",
+    "ORDER BY label DESC, vec_id LIMIT 60",
 )
 def late_payload(spark, sf_dir):
     """The vectors are fetched only for the rows that survive the limit."""
-    vectors = table(spark, sf_dir, "embeddings").where("label IN (1, 3, 5)")
+    vectors = table(spark, sf_dir, "embeddings")
     frames = vectors.selectExpr("vec_id AS camera_uid", "label", "-label AS rank", "embedding AS image")
     catalog = Catalog({"camera": frames}, {"camera": ["camera_uid"]}, [])
     page = SceneQuery(catalog, {"camera": ["camera_uid", "label", "image"]}, orderby="rank", limit=60).build()
@@ -419,16 +442,32 @@ def late_payload(spark, sf_dir):
 @query(
     "shard",
     view_sql("samples") + ", numbered AS (SELECT weather_uid, row_number() OVER (ORDER BY time, weather_uid) - 1 "
-    "AS row_idx, count(*) OVER () AS n FROM samples WHERE split = 'training') "
+    "AS row_idx, count(*) OVER () AS n FROM samples) "
     "SELECT weather_uid, row_idx, (row_idx // ceil(n / 7.0)::BIGINT)::BIGINT AS shard FROM numbered",
 )
 def shard(spark, sf_dir):
-    return SceneQuery(
-        scenes(spark, sf_dir), {"weather": ["weather_uid"]}, splits=["training"], orderby="time"
-    ).with_shards(7)
+    return SceneQuery(scenes(spark, sf_dir), {"weather": ["weather_uid"]}, orderby="time").with_shards(7)
 
 
-@query("shuffle", view_sql("samples") + "SELECT weather_uid, price FROM samples WHERE split = 'testing'")
+@query(
+    "shuffle",
+    view_sql("samples") + "SELECT weather_uid, price, row_number() OVER (ORDER BY md5('42|' || weather_uid), weather_uid) "
+    "- 1 AS position FROM samples",
+)
 def shuffle(spark, sf_dir):
-    request = SceneQuery(scenes(spark, sf_dir), {"weather": ["weather_uid", "price"]}, splits=["testing"])
+    request = SceneQuery(scenes(spark, sf_dir), {"weather": ["weather_uid", "price"]})
     return request.shuffle(seed=42, key=["weather_uid"])
+
+
+@query(
+    "shard_shuffle",
+    view_sql("samples") + ", numbered AS (SELECT weather_uid, row_number() OVER (ORDER BY time, weather_uid) - 1 "
+    "AS row_idx, count(*) OVER () AS n FROM samples), "
+    "sharded AS (SELECT weather_uid, (row_idx // ceil(n / 5.0)::BIGINT)::BIGINT AS shard FROM numbered) "
+    "SELECT weather_uid, shard, row_number() OVER (PARTITION BY shard ORDER BY md5('9|' || weather_uid), weather_uid) - 1 "
+    "AS position FROM sharded",
+)
+def shard_shuffle(spark, sf_dir):
+    """Every worker's contiguous run of the order, shuffled by itself."""
+    request = SceneQuery(scenes(spark, sf_dir), {"weather": ["weather_uid"]}, orderby="time")
+    return request.shuffle(seed=9, key=["weather_uid"], shards=5)
