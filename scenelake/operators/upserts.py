@@ -1,7 +1,8 @@
 """Keyed merges as DataFrame expressions; plain Parquet tables have no MERGE.
 
-Duplicates inside a batch are settled on narrow columns first, so a hot key
-never carries its payloads into one group.
+Duplicates inside a batch are settled by a first-row window. Spark limits its
+rows before the shuffle, so a hot key sends one row per task and no payload
+moves twice.
 """
 
 from __future__ import annotations
@@ -10,15 +11,23 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from scenelake.plans.ordered import ordered_index
 
 
 def _one_per_key(batch: DataFrame, key: Sequence[str], seq: str, last: bool) -> DataFrame:
-    """The batch row with the lowest or highest ``seq`` per key; ``seq`` is unique in the batch."""
-    pick = F.max(seq) if last else F.min(seq)
-    chosen = batch.groupBy(*key).agg(pick.alias(seq)).select(seq)
-    return batch.join(chosen, seq, "left_semi")
+    """Exactly one batch row per key: the one with the lowest or highest ``seq``.
+
+    Among equal ``seq`` the other plain columns decide, smallest first by
+    column name; rows equal in all of them are interchangeable.
+    """
+    nested = (T.ArrayType, T.MapType, T.StructType, T.BinaryType, T.VariantType)
+    ties = sorted(f.name for f in batch.schema if f.name not in (*key, seq) and not isinstance(f.dataType, nested))
+    first = F.col(seq).desc_nulls_last() if last else F.col(seq).asc_nulls_last()
+    order = Window.partitionBy(*key).orderBy(first, *[F.col(f"`{c}`").asc_nulls_last() for c in ties])
+    return batch.withColumn("_rn", F.row_number().over(order)).where("_rn = 1").drop("_rn")
 
 
 def first_write(batch: DataFrame, key: Sequence[str], seq: str) -> DataFrame:
@@ -74,14 +83,15 @@ def upsert_last(
         F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in values else F.col(c)
         for c in existing.columns
     ]
+    merged += [F.col(f"_new_{c}").alias(c) for c in values if c not in existing.columns]
     if uid is None:
         return existing.join(newest, list(key), "full").select(*merged)
-    # New keys are set apart before payloads are looked at: numbering them sorts and materialises.
-    updated = existing.join(newest, list(key), "left").select(*merged)
-    new_keys = newest.select(*key).join(existing.select(*key), list(key), "left_anti")
-    numbered = assign_uids(new_keys, key, uid, next_uid(existing, uid) if start is None else start)
-    fresh = newest.join(numbered, list(key)).select(uid, *key, *[F.col(f"_new_{c}").alias(c) for c in values])
-    return updated.unionByName(fresh, allowMissingColumns=True)
+    # New keys get their uid on narrow columns; then one full join settles old and new rows alike.
+    newest = newest.dropna(subset=list(key))
+    new_keys = batch.select(*key).dropna().distinct().join(existing.select(*key), list(key), "left_anti")
+    numbered = assign_uids(new_keys, key, "_new_uid", next_uid(existing, uid) if start is None else start)
+    settled = existing.join(newest, list(key), "full").join(numbered, list(key), "left")
+    return settled.withColumn(uid, F.coalesce(uid, "_new_uid")).select(*merged)
 
 
 def present(batch: DataFrame, payload: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +23,7 @@ from scenelake.functions.taxonomy import NUSCENES
 from scenelake.operators.geometry import move_cloud
 from scenelake.operators.lookup import require
 from scenelake.plans.ordered import ranked
+from scenelake.session import materialise
 
 # Only the fields the flattening reads.
 TOKEN_TABLES = {
@@ -105,22 +108,39 @@ def scene_order(sample: DataFrame) -> DataFrame:
 def linked_order(spark: SparkSession, scene: DataFrame, sample: DataFrame) -> DataFrame:
     """(scene_token, sample_token, position) by following the ``next`` links from each scene's first sample.
 
-    One join step per position, all scenes at once. ``scene_order`` gives the
-    same for well-formed input without iterating.
+    Pointer doubling: every sample knows an earlier one and the steps between
+    them, and each round doubles that reach, so a scene of n samples takes
+    log2(n) rounds. A sample with two predecessors, or a scene on a ring of
+    links, is an error. ``scene_order`` gives the same for well-formed input
+    without rounds.
     """
-    scene.createOrReplaceTempView("_scene_starts")
-    sample.select("token", "next").createOrReplaceTempView("_sample_links")
-    return spark.sql(
-        """
-        WITH RECURSIVE walk(scene_token, sample_token, position) AS (
-            SELECT token, first_sample_token, 1 FROM _scene_starts
-            UNION ALL
-            SELECT w.scene_token, l.next, w.position + 1
-            FROM walk w JOIN _sample_links l ON l.token = w.sample_token
-            WHERE l.next IS NOT NULL AND l.next <> ''
+    links = sample.select("token", "next").where("next IS NOT NULL AND next <> ''")
+    before = links.select(F.col("next").alias("node"), F.col("token").alias("up"))
+    if not before.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        raise ValueError("a sample follows two others")
+    named = [sample.select("token"), before.select("node"), scene.select("first_sample_token")]
+    nodes = reduce(DataFrame.unionAll, named).toDF("node").distinct()
+    # A head points to itself in no steps.
+    reach = materialise(
+        nodes.join(before, "node", "left").select(
+            "node", F.coalesce("up", "node").alias("up"), F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("steps")
+        )
+    )
+    rounds = reach.count().bit_length() + 1
+    for _ in range(rounds):
+        further = reach.select(F.col("node").alias("up"), F.col("up").alias("_up"), F.col("steps").alias("_steps"))
+        if reach.join(further, "up").where("_steps > 0").isEmpty():
+            break
+        reach = materialise(
+            reach.join(further, "up").select("node", F.col("_up").alias("up"), (F.col("steps") + F.col("_steps")).alias("steps"))
         )
-        SELECT * FROM walk
-        """
+    heads = reach.where("steps = 0").select(F.col("node").alias("up"))
+    starts = scene.select(F.col("token").alias("scene_token"), F.col("first_sample_token").alias("node"))
+    begun = starts.join(reach, "node").select("scene_token", "up", F.col("steps").alias("_first"))
+    if not begun.join(heads, "up", "left_anti").isEmpty():
+        raise ValueError("a scene's links form a ring")
+    return begun.join(reach, "up").where("steps >= _first").select(
+        "scene_token", F.col("node").alias("sample_token"), (F.col("steps") - F.col("_first") + 1).alias("position")
     )
 
 
@@ -210,7 +230,7 @@ def _seen(boxes: DataFrame) -> DataFrame:
 
 
 def lidar_boxes(sweeps: DataFrame, boxes: DataFrame) -> DataFrame:
-    """(token, lidar_box): all boxes of each sweep's sample in the vehicle frame, in annotation order.
+    """(token, lidar_box): all boxes of each sweep's sample in the vehicle frame, in annotation order; maybe none.
 
     A sweep's list is bounded by its own sample's annotations.
     """
@@ -221,6 +241,7 @@ def lidar_boxes(sweeps: DataFrame, boxes: DataFrame) -> DataFrame:
         conjugate(F.col("lidar_vehicle_pose.rotation")).alias("turn"),
     ).join(boxes, "sample_token")
     return _lists(
+        sweeps,
         _seen(placed),
         "lidar_box",
         ["x", "y", "z", "length", "width", "height", "rotation", "points_in_box", "label"],
@@ -265,17 +286,23 @@ def camera_boxes(cameras: DataFrame, boxes: DataFrame) -> DataFrame:
     )
     visible = corners.where(F.exists("corners", inside) & F.forall("corners", lambda c: c["z"] > 0.1))
     return _lists(
+        cameras,
         visible.withColumn("yaw", rotation_angle(F.col("rotation"))),
         "camera_box",
         ["x", "y", "z", "length", "width", "height", "yaw", "label"],
     )
 
 
-def _lists(rows: DataFrame, column: str, fields: list[str]) -> DataFrame:
+def _lists(sensors: DataFrame, rows: DataFrame, column: str, fields: list[str]) -> DataFrame:
+    """The boxes of every sensor as a list, empty where it has none."""
     entries = F.array_sort(F.collect_list(F.struct("annotation", *fields)))
-    return rows.groupBy("token").agg(entries.alias("_all")).select(
+    held = rows.groupBy("token").agg(entries.alias("_all")).select(
         "token", F.transform("_all", lambda e: F.struct(*[e[f].alias(f) for f in fields])).alias(column)
     )
+    kind = held.schema[column].dataType
+    return sensors.select("token").join(held, "token", "left").select(
+        "token", F.coalesce(column, F.array().cast(kind)).alias(column)
+    )
 
 
 def key_frames(sample_data: DataFrame) -> DataFrame:

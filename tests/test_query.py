@@ -209,3 +209,19 @@ def test_catalog_listings(spark, cat):
     assert ("camera", "weather_uid", "weather", "weather_uid") in values(cat.foreign_key_listing(spark))
     profile = {(r.table_name, r.column_name): r.non_null for r in cat.profile().collect()}
     assert profile[("weather", "custom")] == 2 and profile[("camera", "image")] == 5
+
+
+def test_types_and_counts_number_nothing(spark, cat, monkeypatch):
+    import scenelake.plans.query as module
+
+    monkeypatch.setattr(module, "ordered_index", None)
+    request = SceneQuery(cat, {"weather": ["weather_uid", "time"]}, limit=2, offset=1)
+    assert [c for c, _ in request.dtypes()] == ["weather_uid", "time"]
+    assert request.count() == 2
+    assert SceneQuery(cat, {"weather": ["weather_uid"]}, offset=99, orderby="time").count() == 0
+
+
+def test_split_filter_orders_by_sample(cat):
+    request = {"data": {"camera_box": ["camera_box"]}, "limit": 1}
+    assert SceneQuery(cat, **request).default_order() == ("camera_box", "camera_uid")
+    assert SceneQuery(cat, **request, splits=["training"]).default_order() == ("weather", "weather_uid")

@@ -358,3 +358,30 @@ def test_frames(spark):
     assert [(b.points_in_box, b.label) for b in top.lidar_box] == [(2, "vehicle")]
     assert sweeps[(1, "waymo_2")].lidar_box == [] and sweeps[(1, "waymo_2")].lidar_segmentation is None
     assert sweeps[(3, "waymo_1")].lidar_box is None
+
+
+def test_long_scenes_are_walked(spark):
+    chain = [(f"a{i:03}", f"a{i + 1:03}" if i < 149 else "") for i in range(150)] + [("b0", None), ("r1", "r2"), ("r2", "r1")]
+    sample = spark.createDataFrame(chain, "token STRING, next STRING")
+    scene = spark.createDataFrame([("A", "a000"), ("B", "b0"), ("C", "a100")], "token STRING, first_sample_token STRING")
+    got = sorted(map(tuple, tokens.linked_order(spark, scene, sample).collect()))
+    want = [("A", f"a{i:03}", i + 1) for i in range(150)] + [("B", "b0", 1)] + [("C", f"a{i:03}", i - 99) for i in range(100, 150)]
+    assert got == sorted(want)
+    ring = spark.createDataFrame([("R", "r1")], "token STRING, first_sample_token STRING")
+    with pytest.raises(ValueError, match="ring"):
+        tokens.linked_order(spark, ring, sample)
+    with pytest.raises(ValueError, match="follows two"):
+        tokens.linked_order(spark, scene, sample.union(spark.createDataFrame([("x", "a003")], sample.schema)))
+
+
+def test_sensors_without_boxes_keep_an_empty_list(spark):
+    pose = "STRUCT<rotation ARRAY<DOUBLE>, translation ARRAY<DOUBLE>>"
+    one = ([1.0, 0.0, 0.0, 0.0], [0.0, 0.0, 0.0])
+    sweeps = spark.createDataFrame([("t1", "s1", one), ("t2", "s2", one)], f"token STRING, sample_token STRING, lidar_vehicle_pose {pose}")
+    boxes = spark.createDataFrame(
+        [("s1", "a", 1.0, 2.0, 3.0, 1.0, 1.0, 1.0, [1.0, 0.0, 0.0, 0.0], 5, "car")],
+        "sample_token STRING, annotation STRING, x DOUBLE, y DOUBLE, z DOUBLE, length DOUBLE, width DOUBLE, height DOUBLE, "
+        "rotation ARRAY<DOUBLE>, points_in_box LONG, label STRING",
+    )
+    got = {r.token: len(r.lidar_box) for r in tokens.lidar_boxes(sweeps, boxes).collect()}
+    assert got == {"t1": 1, "t2": 0}

@@ -99,3 +99,35 @@ def test_violations(spark, tree):
     assert [tuple(r) for r in integrity.duplicate_keys(tree.table("b"), ["a"]).collect()] == [(1, 2)]
 
 
+
+
+def test_exactly_one_row_per_key(spark):
+    rows = [(1, 5, "b", b"x"), (1, 5, "a", b"y"), (1, 5, "a", b"y"), (2, 1, "c", None), (2, None, "z", None)]
+    batch = spark.createDataFrame(rows, "k INT, seq INT, v STRING, blob BINARY")
+    last = {r.k: (r.seq, r.v) for r in U.last_write(batch, ["k"], "seq").collect()}
+    assert last == {1: (5, "a"), 2: (1, "c")}
+    assert U.last_write(batch, ["k"], "seq").count() == U.first_write(batch, ["k"], "seq").count() == 2
+    stored = spark.createDataFrame([(7, 1, "old")], "uid LONG, k INT, v STRING")
+    got = U.upsert_last(stored, batch, ["k"], "seq", ["v"], uid="uid")
+    assert sorted(map(tuple, got.collect())) == [(7, 1, "a"), (8, 2, "c")]
+
+
+def test_cascade_through_self_references(spark):
+    node = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 4), (5, 6), (6, 5), (7, None)], "id INT, up INT")
+    leaf = spark.createDataFrame([(1, 3), (2, 4), (3, 7), (4, None)], "leaf INT, id INT")
+    fks = [ForeignKey("node", ("up",), "node", ("id",)), ForeignKey("leaf", ("id",), "node", ("id",))]
+    catalog = Catalog({"node": node, "leaf": leaf}, {"node": ["id"], "leaf": ["leaf"]}, fks)
+    doomed = spark.createDataFrame([(1,), (4,), (5,)], "id INT")
+    left = integrity.cascade_delete(catalog, "node", doomed)
+    assert [r.id for r in left["node"].collect()] == [7]
+    assert sorted(r.leaf for r in left["leaf"].collect()) == [3, 4]
+    moved = integrity.cascade_update(catalog, "node", spark.createDataFrame([(1, 10), (3, 30)], "id INT, new_id INT"))
+    assert sorted((r.id, r.up) for r in moved["node"].collect() if r.id < 40 and r.up) == [(2, 10), (4, 4), (5, 6), (6, 5), (30, 2)]
+    assert sorted((r.leaf, r.id) for r in moved["leaf"].collect() if r.id) == [(1, 30), (2, 4), (3, 7)]
+
+
+def test_rings_of_tables(spark):
+    a = spark.createDataFrame([(1, 1)], "x INT, y INT")
+    fks = [ForeignKey("a", ("x",), "b", ("y",)), ForeignKey("b", ("x",), "a", ("y",))]
+    with pytest.raises(ValueError, match="ring"):
+        integrity.cascade_delete(Catalog({"a": a, "b": a}, {"a": ["y"], "b": ["y"]}, fks), "a", a.select("y"))

@@ -163,6 +163,37 @@ def cascade_delete(spark, sf_dir):
     )
 
 
+@query(
+    "cascade_update",
+    "WITH n AS (SELECT n_nationkey FROM nation WHERE n_regionkey = 2) "
+    "SELECT c_custkey, (CASE WHEN c_nationkey IN (FROM n) THEN c_nationkey + 100 ELSE c_nationkey END)::INT AS c_nationkey "
+    "FROM customer",
+)
+def cascade_update(spark, sf_dir):
+    """Customers after the nations of one region got new keys."""
+    catalog = star(spark, sf_dir)
+    nations = catalog.table("nation").where("n_regionkey = 2")
+    changes = nations.select("n_nationkey", (F.col("n_nationkey") + 100).alias("new_n_nationkey"))
+    return integrity.cascade_update(catalog, "nation", changes)["customer"].select("c_custkey", "c_nationkey")
+
+
+@query(
+    "upsert_ties",
+    "WITH b AS (SELECT user_id, event_id % 50 AS seq, event_type, value FROM events), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY seq DESC, event_type, value) AS rn FROM b) "
+    "SELECT c_custkey AS user_id, CASE WHEN rn IS NULL THEN c_mktsegment ELSE event_type END AS event_type "
+    "FROM customer LEFT JOIN r ON user_id = c_custkey AND rn = 1 "
+    "UNION ALL SELECT user_id, event_type FROM r WHERE rn = 1 AND user_id NOT IN (SELECT c_custkey FROM customer)",
+)
+def upsert_ties(spark, sf_dir):
+    """Keys repeated in the batch, most of them with equal sequence numbers."""
+    batch = table(spark, sf_dir, "events").select("user_id", (F.col("event_id") % 50).alias("seq"), "event_type", "value")
+    stored = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("event_type")
+    )
+    return upserts.upsert_last(stored, batch, ["user_id"], "seq", ["event_type"])
+
+
 @query(
     "cascade_rows",
     _GONE + f"SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE {_LEFT['lineitem']}",
