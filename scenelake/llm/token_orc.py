@@ -37,7 +37,7 @@ from scenelake.llm.common import whole
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
-REMEMBERED = 1_500_000  # words a worker remembers (some 300 MB); then it starts anew
+REMEMBERED = 700_000  # words a worker remembers (some 150 MB); then it starts anew
 AT_ONCE = 20_000  # words encoded in one call
 STRIPE_BYTES = 32 << 20
 SHARD_SCHEMA = "slice int, doc_id long, offset long, n_tokens long, ids array<int>"
@@ -51,6 +51,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        # Each word is encoded once here, so the library's own word memory would only cost time.
+        self.tokenizer.model._resize_cache(0)
         self.known: dict[str, bytes] = {}  # ids of a word after a blank
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that begin with a blank
