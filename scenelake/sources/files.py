@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,22 +76,31 @@ def sidecars(labels: DataFrame, listing: DataFrame, path: str = "path") -> DataF
     )
 
 
-def read_images(spark: SparkSession, root: str) -> DataFrame:
-    """(path, height, width, channels, pixels in [0, 1]) of the image files below ``root``."""
-    image = F.col("image")
-    pixels = F.transform(
-        F.sequence(F.lit(1), F.octet_length(image["data"])),
-        lambda i: (F.conv(F.hex(F.substring(image["data"], i, F.lit(1))), 16, 10).cast("int") / F.lit(255.0)).cast("float"),
-    )
-    return (
-        spark.read.format("image")
-        .option("recursiveFileLookup", True)
-        .load(root)
-        .select(
-            image["origin"].alias("path"),
-            image["height"].alias("height"),
-            image["width"].alias("width"),
-            image["nChannels"].alias("channels"),
-            pixels.alias("pixels"),
+def _channels_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stored bytes are rows of BGR(A) pixels; the result is one plane per channel, red first."""
+    for batch in batches:
+        pixels = []
+        for h, w, c, raw in zip(*(batch.column(x).to_pylist() for x in ("height", "width", "channels", "data")), strict=True):
+            image = np.frombuffer(raw, np.uint8).reshape(h, w, c)
+            if c >= 3:
+                image = image[:, :, [2, 1, 0, *range(3, c)]]
+            pixels.append((image.transpose(2, 0, 1).ravel() / np.float32(255)).astype(np.float32))
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(x) for x in ("path", "height", "width", "channels")), pa.array(pixels, pa.list_(pa.float32()))],
+            names=["path", "height", "width", "channels", "pixels"],
         )
-    )
+
+
+def read_images(spark: SparkSession, root: str) -> DataFrame:
+    """(path, height, width, channels, pixels) of the image files below ``root``.
+
+    Pixels lie in [0, 1], channel by channel (red, green, blue), row by row.
+    """
+    images = spark.read.format("image").option("recursiveFileLookup", True).load(root)
+    return images.select(
+        F.col("image.origin").alias("path"),
+        "image.height",
+        "image.width",
+        F.col("image.nChannels").alias("channels"),
+        "image.data",
+    ).mapInArrow(_channels_first, "path string, height int, width int, channels int, pixels array<float>")

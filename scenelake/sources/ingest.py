@@ -79,12 +79,13 @@ def store_batch(
     start = next_uid(spark.table(name("weather")), "weather_uid")
     merged = insert_first(touched("weather", rows, database), rows, ["time", "location"], "seq", "weather_uid", start)
     out = {"weather": overwrite_touched(_cast(merged, "weather"), "weather", database)}
-    keys = touched("weather", rows, database).select("time", "location", "weather_uid")
     for sensor in ("camera", "lidar"):
         if sensor not in batch:
             continue
         uid, key = f"{sensor}_uid", list(schemas.NATURAL_KEYS[sensor])
-        located = require(batch[sensor], keys, ["time", "location"], "sample")
+        # Sensors may come after their samples, so their own days say where to look.
+        keys = touched("weather", batch[sensor].select("time", "location"), database)
+        located = require(batch[sensor], keys.select("time", "location", "weather_uid"), ["time", "location"], "sample")
         placed = _staged(_typed(located, sensor, key), root)
         values = [c for c in SENSOR_VALUES[sensor] if c in placed.columns]
         start = next_uid(spark.table(name(sensor)), uid)

@@ -85,11 +85,11 @@ def replace_table(df: DataFrame, table: str, database: str | None = None, root:
 def write_by_day(df: DataFrame, path: str, time: str = "time") -> None:
     """Time-chunked layout: one folder per day, other days untouched when rewritten.
 
-    Rows are spread by day and hour, so a busy day is written by several tasks.
+    The rebalance writes a busy day by as many tasks as its size asks for.
     """
     day = df.withColumn("day", F.to_date(time))
     (
-        day.repartition("day", F.hour(time))
+        day.hint("rebalance", "day")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("day")

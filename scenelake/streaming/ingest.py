@@ -32,9 +32,15 @@ def first_per_sample(stream: DataFrame, time: str = "time", delay: str = "10 min
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark([time, "location"])
 
 
-def into_batches(stream: DataFrame, apply: Callable[[DataFrame], None], checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Run ``apply`` on every micro-batch. It must be idempotent by key: a batch may be repeated."""
-    writer = stream.writeStream.foreachBatch(lambda batch, _: apply(batch)).option("checkpointLocation", checkpoint)
+def into_batches(
+    stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, once: bool = False
+) -> StreamingQuery:
+    """Run ``apply(batch, batch id)`` on every micro-batch.
+
+    After a failure a batch comes again under its id, so what ``apply`` writes
+    must follow from the id alone.
+    """
+    writer = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
@@ -48,3 +54,15 @@ def append_available(stream: DataFrame, output: str, checkpoint: str) -> None:
         .start(output)
     )
     query.awaitTermination()
+
+
+def version_of(spark: SparkSession, root: str, schema: str, batch_id: int) -> DataFrame:
+    """The store as the batches before ``batch_id`` left it."""
+    if batch_id == 0:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{root}/v{batch_id}")
+
+
+def write_version(df: DataFrame, root: str, batch_id: int) -> None:
+    """Write the store after ``batch_id``; a repeated batch replaces what its first try left."""
+    df.write.mode("overwrite").parquet(f"{root}/v{batch_id + 1}")

@@ -103,6 +103,16 @@ def test_image_pixels(spark, tmp_path):
     assert np.allclose(image.pixels, [0, 0.2, 0.4, 1.0])
 
 
+def test_colour_pixels_come_by_channel(spark, tmp_path):
+    rgb = np.array([[[255, 0, 51], [0, 102, 0]], [[1, 2, 3], [9, 8, 7]], [[0, 0, 255], [4, 5, 6]]], np.uint8)
+    rows = b"".join(r[:, ::-1].tobytes() + b"\0\0" for r in rgb[::-1])  # BMP: bottom row first, BGR, padded to 4 bytes
+    head = b"BM" + struct.pack("<IHHI", 54 + len(rows), 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, 2, 3, 1, 24, 0, len(rows), 0, 0, 0, 0)
+    (tmp_path / "c.bmp").write_bytes(head + rows)
+    image = files.read_images(spark, str(tmp_path)).first()
+    assert (image.height, image.width, image.channels) == (3, 2, 3)
+    assert np.allclose(image.pixels, rgb.transpose(2, 0, 1).ravel() / 255)
+
+
 def test_sidecars(spark):
     label = "a2d2/day1/label/cam_front_center/2018_label_frontcenter_01.png"
     have = [

@@ -1,5 +1,6 @@
 from datetime import datetime, timedelta, timezone
 
+import pytest
 from pyspark.sql import functions as F
 
 from scenelake.operators import upserts
@@ -17,29 +18,34 @@ def drop(spark, path, rows, schema):
     spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(path))
 
 
-def test_ingest_is_idempotent_and_archives(spark, tmp_path):
-    inbox, archive = tmp_path / "inbox", tmp_path / "archive"
-    # A batch is merged into a written table, so later batches read files.
-    store = tmp_path / "store"
-    version = [0]
-    spark.createDataFrame([], "uid BIGINT, " + SAMPLE).write.parquet(f"{store}/0")
+def test_ingest_replays_and_archives(spark, tmp_path):
+    inbox, archive, store = tmp_path / "inbox", tmp_path / "archive", str(tmp_path / "store")
+    schema, calls = "uid BIGINT, " + SAMPLE, []
 
-    def merge(batch):
-        old = batch.sparkSession.read.schema("uid BIGINT, " + SAMPLE).parquet(f"{store}/{version[0]}")
+    def merge(batch, batch_id):
+        calls.append(batch_id)
+        old = ingest.version_of(batch.sparkSession, store, schema, batch_id)
         rows = batch.withColumn("seq", F.col("v"))
-        upserts.insert_first(old, rows, ["time", "location"], "seq", "uid").write.parquet(f"{store}/{version[0] + 1}")
-        version[0] += 1
+        ingest.write_version(upserts.insert_first(old, rows, ["time", "location"], "seq", "uid"), store, batch_id)
+        if calls.count(batch_id) == 1 and batch_id == 1:
+            raise RuntimeError("lost after writing")
 
-    def run(checkpoint):
+    def run():
         stream = ingest.watch(spark, SAMPLE, str(inbox), "*.parquet", archive=str(archive))
-        ingest.into_batches(stream, merge, str(tmp_path / checkpoint), once=True).awaitTermination()
-        return sorted((r.uid, r.location, r.v) for r in spark.read.parquet(f"{store}/{version[0]}").collect())
+        ingest.into_batches(stream, merge, str(tmp_path / "checkpoint"), once=True).awaitTermination()
+        return sorted((r.uid, r.location, r.v) for r in ingest.version_of(spark, store, schema, max(calls) + 1).collect())
 
     drop(spark, inbox, [(at(0), "a", 1), (at(0), "a", 2), (at(0), "b", 3)], SAMPLE)
-    assert run("c1") == [(1, "a", 1), (2, "b", 3)]
+    assert run() == [(1, "a", 1), (2, "b", 3)]
     drop(spark, inbox, [(at(0), "a", 9), (at(1), "a", 10)], SAMPLE)
-    final = run("c1")
-    assert final == [(1, "a", 1), (2, "b", 3), (3, "a", 10)]
+    with pytest.raises(Exception, match="lost after writing"):
+        run()
+    assert run() == [(1, "a", 1), (2, "b", 3), (3, "a", 10)]
+    assert calls == [0, 1, 1]
+    # A later batch moves the files of finished ones.
+    drop(spark, inbox, [(at(2), "c", 1)], SAMPLE)
+    run()
+    assert len(list(archive.rglob("part-*.parquet"))) >= 1
 
 
 def test_first_per_sample(spark, tmp_path):

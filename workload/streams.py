@@ -62,19 +62,17 @@ def stream_propagate(spark, sf_dir):
 def stream_ingest(spark, sf_dir):
     """Order files as sample batches; each batch inserts the samples that are not stored yet."""
     folder = _folder(spark)
-    store = {"version": 0}
+    seen = []
     schema = "weather_uid BIGINT, location STRING, time TIMESTAMP, first_uid BIGINT"
-    spark.createDataFrame([], schema).write.parquet(f"{folder}/v0")
 
-    def merge(batch):
-        session = batch.sparkSession
-        stored = session.read.schema(schema).parquet(f"{folder}/v{store['version']}")
+    def merge(batch, batch_id):
         rows = batch.select("location", "time", F.col("weather_uid").alias("first_uid"), F.col("weather_uid").alias("seq"))
+        stored = ingest.version_of(batch.sparkSession, folder, schema, batch_id)
         merged = upserts.insert_first(stored, rows, ["time", "location"], "seq", "weather_uid")
-        merged.write.parquet(f"{folder}/v{store['version'] + 1}")
-        store["version"] += 1
+        ingest.write_version(merged, folder, batch_id)
+        seen.append(batch_id)
 
     samples = _stream(spark, sf_dir, "samples").select("weather_uid", "location", "time")
     ingest.into_batches(samples, merge, f"{folder}/checkpoint", once=True).awaitTermination()
-    final = spark.read.schema(schema).parquet(f"{folder}/v{store['version']}")
+    final = ingest.version_of(spark, folder, schema, max(seen) + 1)
     return final.select("location", F.date_format("time", "yyyy-MM-dd").alias("time_key"), "first_uid")
