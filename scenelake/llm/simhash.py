@@ -75,7 +75,6 @@ def fingerprint_batch(texts: list[str], shingle: int = SHINGLE, seed: int = HASH
     if not len(full):
         return out
     values = np.array(hashes, np.uint64)
-    starts = (np.cumsum(counts) - counts)[full]
     ones = np.zeros((len(full), 64), np.int64)
     # A few thousand shingles at a time: their bits take 64 bytes each.
     owner = np.repeat(np.arange(len(full)), counts[full])
@@ -85,7 +84,6 @@ def fingerprint_batch(texts: list[str], shingle: int = SHINGLE, seed: int = HASH
         who = owner[at : at + len(part)]
         first = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]]))
         ones[who[first]] += np.add.reduceat(bits, first, axis=0, dtype=np.int64)
-    del starts
     major = ones * 2 > counts[full][:, None]
     out[full] = (major.astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
     return out
@@ -217,6 +215,8 @@ def links(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """
     if threshold > THRESHOLD:
         raise ValueError("the covering is laid out for at most four differing bits")
+    # Each row becomes about 185, so they are dealt out by number, not by their own small size.
+    fps = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     own = fps.mapInArrow(_own, "anchor int, fp long").withColumnRenamed("fp", "a")
     spread = fps.mapInArrow(_replicated, "anchor int, fp long").withColumnRenamed("fp", "b")
     close = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= threshold)
