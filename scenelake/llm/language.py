@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 PER_LANGUAGE = 400
+PARTS = 256
 DIMENSIONS = 1 << 16
 ORDERS = 4
 SMOOTHING = 0.5
@@ -168,16 +169,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(documents: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """Learn from the labelled rows that are not held out."""
     usable = F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out()
-    pick = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id")
-    # The sample is chosen on narrow rows; only its own texts are read in full.
-    chosen = (
-        documents.where(usable)
-        .select("doc_id", "lang")
-        .withColumn("_rn", F.row_number().over(pick))
-        .where(F.col("_rn") <= per_language)
-        .select("doc_id", "lang")
-        .distinct()
-    )
+    # The sample is chosen on narrow rows; only its own texts are read in full. Parts of a language
+    # are cut first, so that its final choice sees at most PARTS * per_language rows.
+    narrow = documents.where(usable).select("doc_id", "lang", F.xxhash64(F.lit(SEED), "doc_id").alias("_draw"))
+    for group in (["lang", F.pmod("_draw", F.lit(PARTS))], ["lang"]):
+        pick = Window.partitionBy(*group).orderBy("_draw", "doc_id")
+        narrow = narrow.withColumn("_rn", F.row_number().over(pick)).where(F.col("_rn") <= per_language).drop("_rn")
+    chosen = narrow.select("doc_id", "lang").distinct()
     sample = documents.where(usable).select("doc_id", "lang", "text").join(
         F.broadcast(chosen), ["doc_id", "lang"], "left_semi"
     )
