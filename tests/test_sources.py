@@ -12,7 +12,7 @@ from scenelake import Catalog, SceneQuery, schemas
 from scenelake.session import materialise
 from scenelake.operators import labels as L
 from scenelake.operators import weather as W
-from scenelake.sources import files, frames, ingest, payloads, tables, tokens
+from scenelake.sources import batches, files, frames, ingest, payloads, tables, tokens
 from tests.test_labels import UNIFIED
 
 IDS = {name: i for i, (name, _, _) in enumerate(UNIFIED)}
@@ -312,6 +312,42 @@ def test_token_tables_end_to_end(spark, database, tmp_path):
     assert request.count() == 1 and request.build().columns == ["lidar_box", "camera_id"]
 
 
+def test_nuscenes_in_one_call(spark, database, tmp_path):
+    raw = tmp_path / "raw"
+    raw.mkdir()
+    token_tables(raw, np.array([[1, 0, 0, 0.5, 0], [0, 1, 0, 0.7, 1]], np.float32).tobytes(), bytes([17, 0]))
+    (raw / "lidarseg.json").write_text(json.dumps([{"token": "g", "sample_data_token": "s1l", "filename": "samples/s1l.seg"}]))
+    listing = spark.createDataFrame([("scene-1", "train"), ("scene-2", "test")], "name STRING, split STRING")
+    hour = datetime(2018, 8, 1, 19, tzinfo=timezone.utc)
+    archive = spark.createDataFrame([("boston-seaport", hour, 3, 1)], "location STRING, hour TIMESTAMP, weather_code INT, is_day INT")
+    batch = batches.nuscenes_batch(spark, str(raw), listing, archive, IDS, marks="seg")
+    tables.create_tables(spark, database, str(tmp_path / "data"))
+    out = ingest.store_batch(spark, batch, database, str(tmp_path / "data"))
+    assert {k: v.count() for k, v in out.items()} == {
+        "weather": 2, "camera": 1, "camera_box": 1, "lidar": 2, "lidar_segmentation": 1, "lidar_box": 2
+    }
+    # The second sweep has no boxes and keeps its empty list.
+    assert sorted(len(r.lidar_box) for r in out["lidar_box"].collect()) == [0, 2]
+    assert out["lidar_segmentation"].first().lidar_segmentation == [IDS["car"], IDS["void"]]
+
+
+def test_nuimages_in_one_call(spark, database, tmp_path):
+    raw = tmp_path / "raw"
+    raw.mkdir()
+    token_tables(raw, b"", b"")
+    (raw / "sample.json").write_text(json.dumps([{"token": "s1", "timestamp": MICROS, "key_camera_token": "s1c", "log_token": "l1"}]))
+    hour = datetime(2018, 8, 1, 19, tzinfo=timezone.utc)
+    archive = spark.createDataFrame([("boston-seaport", hour, 3, 1)], "location STRING, hour TIMESTAMP, weather_code INT, is_day INT")
+    masks = spark.createDataFrame([("s1c", 1, 2, [0, 1])], "token STRING, height INT, width INT, labels ARRAY<INT>")
+    batch = batches.nuimages_batch(spark, str(raw), "validation", archive, IDS, masks)
+    tables.create_tables(spark, database, str(tmp_path / "data"))
+    out = ingest.store_batch(spark, batch, database, str(tmp_path / "data"))
+    (camera,), (mask,) = out["camera"].collect(), out["camera_segmentation"].collect()
+    assert camera.camera_id == "nuimages_CAM_FRONT" and bytes(camera.image) == b"jpeg"
+    assert mask.camera_segmentation.labels == [IDS["void"], IDS["car"]]
+    assert out["weather"].first().split == "validation"
+
+
 def test_key_camera_samples(spark):
     sample = spark.createDataFrame([("s", MICROS, "k", "l")], "token STRING, timestamp BIGINT, key_camera_token STRING, log_token STRING")
     log = spark.createDataFrame([("l", "boston-seaport")], "token STRING, location STRING")
