@@ -78,6 +78,49 @@ def points_in_boxes(points: DataFrame, boxes: DataFrame, sweep: str = "lidar_uid
     return met.groupBy(sweep, "box_idx").agg(F.count("*").alias("points_in_box"))
 
 
+def _held(points: np.ndarray, boxes: np.ndarray) -> list[int]:
+    """Points (n x 3) inside each box (x, y, z, length, width, height, yaw), faces included."""
+    points = points[np.argsort(points[:, 0], kind="stable")]
+    out = []
+    for x, y, z, length, width, height, yaw in boxes:
+        # Only points within the footprint's reach along x come into question.
+        reach = np.hypot(length, width) / 2 + _SLACK
+        near = points[np.searchsorted(points[:, 0], x - reach) : np.searchsorted(points[:, 0], x + reach, side="right")]
+        dx, dy, dz = near[:, 0] - x, near[:, 1] - y, near[:, 2] - z
+        cos, sin = np.cos(yaw), np.sin(yaw)
+        inside = (np.abs(cos * dx + sin * dy) <= length / 2) & (np.abs(cos * dy - sin * dx) <= width / 2)
+        out.append(int((inside & (np.abs(dz) <= height / 2)).sum()))
+    return out
+
+
+_BOX_FIELDS = ("x", "y", "z", "length", "width", "height", "yaw")
+
+
+def box_counts(df: DataFrame, points: str, boxes: str, name: str = "counts") -> DataFrame:
+    """Adds ``name``, how many of the row's points lie in each of the row's boxes.
+
+    A row that holds its points and boxes is counted where it is; nothing is
+    exploded or shuffled. A missing cloud counts as empty, a missing box list
+    gives an empty list.
+    """
+
+    def flat(column: pa.Array, fields: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        values = column.flatten()
+        rows = np.column_stack([values.field(a).to_numpy(zero_copy_only=False).astype(np.float64) for a in fields])
+        lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        return rows, np.concatenate([[0], np.cumsum(lengths)])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (p, at), (b, to) = flat(batch.column(points), "xyz"), flat(batch.column(boxes), _BOX_FIELDS)
+            held = [_held(p[at[i] : at[i + 1]], b[to[i] : to[i + 1]]) for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(held, pa.list_(pa.int64()))], [*batch.schema.names, name]
+            )
+
+    return df.mapInArrow(count, T.StructType([*df.schema.fields, T.StructField(name, T.ArrayType(T.LongType()))]))
+
+
 def points_in_origin_box(points: DataFrame, width: float, length: float, height: float) -> DataFrame:
     """Points within an upright box around the origin, faces included; x pairs with width, y with length."""
     inside = (

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from scenelake.functions.pose import quaternion_of, translation_of
 from scenelake.functions.taxonomy import WAYMO_BOX, WAYMO_CAMERA, WAYMO_LIDAR
-from scenelake.operators.clouds import points_in_boxes, usable_sweeps, valid_returns
-from scenelake.operators.geometry import explode_points
+from scenelake.operators.clouds import box_counts, usable_sweeps, valid_returns
 from scenelake.operators.labels import remap_labels
 
 # A frame as decoded from its record; transforms are 4x4 in row order.
@@ -134,9 +133,10 @@ def lidar_rows(frames: DataFrame, ids: dict[str, int]) -> DataFrame:
         quaternion_of(mount["extrinsic"], 4).alias("rotation"),
         translation_of(mount["extrinsic"]).alias("translation"),
     )
-    key = ["time", "location", "lidar_id"]
     sweeps = rows.select(
-        *key,
+        "time",
+        "location",
+        "lidar_id",
         F.col("las.points").alias("points"),
         F.col("las.features").alias("features"),
         parameters.alias("lidar_parameters"),
@@ -145,10 +145,12 @@ def lidar_rows(frames: DataFrame, ids: dict[str, int]) -> DataFrame:
         "laser_labels",
         _seq("location", "las.name"),
     )
-    return sweeps.join(_counted_boxes(sweeps, key), key, "left").withColumn(
-        "lidar_box",
-        F.when(F.size("laser_labels") > 0, F.coalesce(F.col("lidar_box"), F.array().cast(_BOXES))),
-    ).transform(usable_sweeps).drop("laser_labels")
+    return (
+        box_counts(sweeps, "points", "laser_labels")
+        .withColumn("lidar_box", F.when(F.size("laser_labels") > 0, _held_boxes()))
+        .transform(usable_sweeps)
+        .drop("laser_labels", "counts")
+    )
 
 
 _BOXES = (
@@ -157,24 +159,12 @@ _BOXES = (
 )
 
 
-def _counted_boxes(sweeps: DataFrame, key: list[str]) -> DataFrame:
-    """(key, lidar_box): the boxes of each sweep's frame that hold points of the sweep, with their count.
-
-    The list is put together per sweep from its frame's own boxes, so it is no
-    longer than the frame row it came from.
-    """
-    sweep = F.concat_ws("|", F.col("time").cast("string"), "location", "lidar_id").alias("sweep")
-    boxes = sweeps.select(*key, sweep, F.posexplode("laser_labels").alias("box_idx", "b")).select(
-        *key, "sweep", "box_idx", "b.*"
-    )
-    points = explode_points(sweeps.select(sweep, "points"), "sweep")
-    counts = points_in_boxes(points, boxes, "sweep")
-    held = boxes.join(counts, ["sweep", "box_idx"])
-    entry = F.struct(
-        "box_idx", "x", "y", "z", "length", "width", "height", "yaw", "points_in_box", _box_name(F.col("type")).alias("label")
-    )
-    ordered = F.array_sort(F.collect_list(entry))
-    fields = ["x", "y", "z", "length", "width", "height", "yaw", "points_in_box", "label"]
-    return held.groupBy(*key).agg(ordered.alias("_b")).select(
-        *key, F.transform("_b", lambda b: F.struct(*[b[f] for f in fields])).cast(_BOXES).alias("lidar_box")
+def _held_boxes() -> Column:
+    """The frame's boxes that hold points of the sweep, with their counts."""
+    pairs = F.arrays_zip(F.col("laser_labels").alias("b"), F.col("counts").alias("n"))
+    box = lambda p: F.struct(
+        *[p["b"][f].alias(f) for f in ("x", "y", "z", "length", "width", "height", "yaw")],
+        p["n"].alias("points_in_box"),
+        _box_name(p["b"]["type"]).alias("label"),
     )
+    return F.transform(F.filter(pairs, lambda p: p["n"] > 0), box).cast(_BOXES)

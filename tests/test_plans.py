@@ -9,7 +9,7 @@ from workload.registry import table
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 PYTHON_NODES = ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "MapInArrow", "FlatMapGroupsInPandas")
-USES_PYTHON = {"fps", "downsample"}
+USES_PYTHON = {"fps", "downsample", "explode_sweeps"}
 EAGER = {n for n in QUERIES if n.startswith("stream_")}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from scenelake.functions.taxonomy import WAYMO_LIDAR
 from scenelake.operators import clouds, geometry
+from scenelake.sources import frames
 from workload.labels import _RASTER_SQL
 from workload.registry import query, rounded, table
 
@@ -67,6 +69,55 @@ def points_in_box(spark, sf_dir):
     return clouds.points_in_boxes(point_rows(spark, sf_dir), box_rows(spark, sf_dir), "vec_id")
 
 
+@query(
+    "explode_sweeps",
+    f"WITH {POINTS_SQL}, {_BOXES_SQL}, held AS (SELECT b.vec_id, b.box_idx, count(*) AS n FROM boxes b "
+    f"JOIN points p ON p.vec_id = b.vec_id AND {_INSIDE} GROUP BY ALL) "
+    "SELECT e.vec_id, 'waymo_1' AS lidar_id, 21::BIGINT AS n_points, count(h.box_idx) AS n_boxes, "
+    "coalesce(sum(h.n), 0)::BIGINT AS n_inside, round(any_value(e.embedding[2]::DOUBLE), 5) + 0.0 AS first_x "
+    "FROM embeddings e LEFT JOIN held h USING (vec_id) GROUP BY e.vec_id",
+)
+def explode_sweeps(spark, sf_dir):
+    """Frames with one laser and the four boxes of its cloud, flattened to a sweep with counted boxes."""
+    number = lambda v: F.lit(float(v))
+    eye = F.array(*[number(i % 5 == 0) for i in range(16)])
+    at = lambda i: F.get("embedding", i).cast("double")
+    boxes = [
+        F.struct(
+            *[at(15 * k + 1 + i).alias(a) for i, a in enumerate("xyz")],
+            *[number(v).alias(a) for a, v in (("length", 0.1 + 0.1 * k), ("width", 0.05 + 0.12 * k), ("height", 0.2 + 0.1 * k))],
+            (F.col("label") * 0.3 - 1.0).alias("yaw"),
+            F.lit("TYPE_VEHICLE").alias("type"),
+        )
+        for k in range(4)
+    ]
+    laser = F.struct(
+        F.lit(1).alias("name"),
+        "points",
+        F.transform("points", lambda p: F.array(number(0), number(0), number(0))).alias("features"),
+        F.transform("points", lambda p: number(1)).alias("ranges"),
+        F.transform("points", lambda p: F.lit(0)).alias("labels"),
+    )
+    decoded = sweeps(spark, sf_dir).select(
+        F.col("vec_id").alias("timestamp_micros"),
+        F.lit("location_sf").alias("location"),
+        eye.alias("pose"),
+        F.array(*boxes).alias("laser_labels"),
+        F.array(F.struct(F.lit(1).alias("name"), eye.alias("extrinsic"))).alias("laser_calibrations"),
+        F.array(laser).alias("lasers"),
+    )
+    rows = frames.lidar_rows(decoded, {unified: i for i, (_, unified) in enumerate(WAYMO_LIDAR)})
+    total = F.aggregate("lidar_box", F.lit(0).cast("long"), lambda acc, b: acc + b["points_in_box"])
+    return rows.select(
+        F.unix_micros("time").alias("vec_id"),
+        "lidar_id",
+        F.size("points").cast("long").alias("n_points"),
+        F.size("lidar_box").cast("long").alias("n_boxes"),
+        total.alias("n_inside"),
+        (F.round(F.col("points")[0]["x"].cast("double"), 5) + 0.0).alias("first_x"),
+    )
+
+
 @query(
     "points_in_box_by_label",
     f"WITH {POINTS_SQL}, {_BOXES_SQL.replace('0.1 + 0.1*k', '0.5 + 3.0*k').replace('0.05 + 0.12*k', '0.4 + 2.0*k')} "
