@@ -25,28 +25,37 @@ _FLAT = T.StructType(
 
 
 def _unfilter(rows: np.ndarray, filters: np.ndarray) -> np.ndarray:
-    """Undo PNG scanline filters of an 8-bit gray image."""
-    out = np.zeros_like(rows)
-    above = np.zeros(rows.shape[1], dtype=np.uint8)
-    for i, (kind, line) in enumerate(zip(filters, rows)):
-        if kind == 0:
-            out[i] = line
-        elif kind == 1:
-            out[i] = np.cumsum(line, dtype=np.uint8)
-        elif kind == 2:
-            out[i] = line + above
+    """Undo PNG scanline filters of an 8-bit gray image, a run of scanlines at a time."""
+    height, width = rows.shape
+    out = np.zeros((height + 1, width), dtype=np.uint8)  # the line above the first is 0
+    # Kinds 0 and 1 look at their own line, 2 at the one above, 3 and 4 at both.
+    sort = np.where(filters < 2, 0, np.where(filters == 2, 1, 2))
+    cuts = np.flatnonzero(np.diff(sort)) + 1
+    for a, b in zip([0, *cuts], [*cuts, height], strict=True):
+        run = rows[a:b]
+        if sort[a] == 0:
+            out[a + 1 : b + 1] = np.where(filters[a:b, None] == 1, np.cumsum(run, axis=1, dtype=np.uint8), run)
+        elif sort[a] == 1:
+            out[a + 1 : b + 1] = np.cumsum(np.concatenate([out[a : a + 1], run]), axis=0, dtype=np.uint8)[1:]
         else:
-            left = corner = 0
-            for j, (x, up) in enumerate(zip(line.tolist(), above.tolist())):
-                if kind == 3:
-                    guess = (left + up) // 2
-                else:
-                    base = left + up - corner
-                    guess = min((left, up, corner), key=lambda v: abs(base - v))
-                left, corner = (x + guess) & 255, up
-                out[i, j] = left
-        above = out[i]
-    return out
+            _both_ways(run, filters[a:b] == 4, out[a : b + 1])
+    return out[1:]
+
+
+def _both_ways(run: np.ndarray, paeth: np.ndarray, out: np.ndarray) -> None:
+    """Lines that need their left and upper pixels, by anti-diagonals; ``out`` begins with the line above."""
+    height, width = run.shape
+    grid = np.zeros((height + 1, width + 1), dtype=np.int16)
+    grid[0, 1:] = out[0]
+    for d in range(height + width - 1):
+        y = np.arange(max(0, d - width + 1), min(height, d + 1))
+        x = d - y
+        left, up, corner = grid[y + 1, x], grid[y, x + 1], grid[y, x]
+        base = left + up - corner
+        near = np.stack([np.abs(base - left), np.abs(base - up), np.abs(base - corner)]).argmin(axis=0)
+        guess = np.where(paeth[y], np.choose(near, [left, up, corner]), (left + up) // 2)
+        grid[y + 1, x + 1] = (run[y, x] + guess) & 255
+    out[1:] = grid[1:, 1:]
 
 
 def decode_png(data: bytes) -> np.ndarray:

@@ -55,6 +55,13 @@ def test_png_filters():
         payloads.decode_png(b"GIF")
 
 
+@pytest.mark.parametrize("shape", [(400, 1), (1, 30), (37, 23)])
+@pytest.mark.parametrize("kinds", [[0], [1], [2], [3], [4], [0, 1, 2, 3, 4], [4, 3, 3, 2, 2, 1, 4, 4]])
+def test_png_filters_in_runs(shape, kinds):
+    pixels = np.random.default_rng(8).integers(0, 256, shape)
+    assert (payloads.decode_png(png(pixels, (kinds * 400)[: shape[0]])) == pixels).all()
+
+
 def test_payload_columns(spark):
     points = np.arange(12, dtype=np.float64).reshape(4, 3)
     raster = np.arange(6).reshape(2, 3)
