@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from scenelake import Catalog, ForeignKey, SceneQuery
 from scenelake.operators.integrity import reference_report
 from scenelake.plans.query import get_field, set_field
-from scenelake.plans.scenarios import SCENARIOS, scenario_counts
+from scenelake.plans.scenarios import scenario_counts
 from workload.registry import query, table, view, view_sql
 
 STAR_TABLES = {
@@ -159,17 +159,30 @@ for _name, (_options, _where) in _FILTERS.items():
     _register_filter(_name, _options, _where)
 
 
-def _in(values) -> str:
-    return "(" + ", ".join(f"'{v}'" for v in values) + ")"
-
-
-def _scenario_where(name: str) -> str:
-    tests = [f"{c} IN {_in(values)}" for c, values in SCENARIOS[name].conditions.items()]
-    return " AND ".join(tests) or "true"
+# The twins spell the accepted values out themselves, so that a wrong list in the library shows.
+_TOD_SQL = {
+    "day": "tod IN ('Day', 'day')",
+    "night": "tod IN ('Night', 'night')",
+    "twilight": "tod IN ('Dawn/Dusk', 'Dawn', 'Dusk', 'dusk', 'dawn')",
+}
+_SKY_SQL = {
+    "sun": "weather IN ('sunny', 'Clear Sky', 'Mainly Clear')",
+    "rain": "weather IN ('rain', 'Light Drizzle', 'Moderate Drizzle', 'Dense Drizzle', 'Light Rain', 'Moderate Rain', "
+    "'Heavy Rain')",
+    "cloud": "weather IN ('Partly Cloudy', 'Overcast')",
+    "snow": "weather IN ('Light Snow', 'Moderate Snow')",
+}
+_SCENARIO_SQL = {
+    "all": "true",
+    **_TOD_SQL,
+    **_SKY_SQL,
+    "dayrainsun": f"{_TOD_SQL['day']} AND ({_SKY_SQL['rain']} OR {_SKY_SQL['sun']})",
+    **{t + s: f"{tod} AND {sky}" for t, tod in _TOD_SQL.items() for s, sky in _SKY_SQL.items()},
+}
 
 
 def _register_scenario(name):
-    @query(f"scenario_{name}", view_sql("samples") + f"SELECT weather_uid FROM samples WHERE {_scenario_where(name)}")
+    @query(f"scenario_{name}", view_sql("samples") + f"SELECT weather_uid FROM samples WHERE {_SCENARIO_SQL[name]}")
     def run(spark, sf_dir):
         return SceneQuery(scenes(spark, sf_dir), {"weather": ["weather_uid"]}, scenario=name).build()
 
@@ -182,7 +195,7 @@ for _name in ("all", "day", "twilight", "rain", "dayrainsun", "nightcloud", "twi
     "scenario_counts",
     view_sql("samples")
     + " UNION ALL ".join(
-        f"SELECT '{n}' AS scenario, count(*) AS samples FROM samples WHERE {_scenario_where(n)}" for n in SCENARIOS
+        f"SELECT '{n}' AS scenario, count(*) AS samples FROM samples WHERE {where}" for n, where in _SCENARIO_SQL.items()
     ),
 )
 def counts_per_scenario(spark, sf_dir):
