@@ -30,6 +30,7 @@ gives an empty result.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -354,7 +355,11 @@ def _cut(window: int):
 
 
 def _release(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files that nothing refers to any more."""
+    """Let Spark delete the shuffle files of finished levels.
+
+    It does so once nothing refers to them; frames of finished jobs may wait for Python's and the JVM's collectors.
+    """
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
