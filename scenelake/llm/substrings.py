@@ -17,8 +17,8 @@ last level is exact: of equal windows in a flush all but those of the smallest
 doc_id are settled at once, the others meet by hash.
 
 Texts without a candidate are finished in the scan that finds that out; the
-others are written to the shared folder once, as their removal lists come back
-by document.
+others are written to the shared folder once, compressed, as their removal lists
+come back by document.
 
 Windows are compared by 64-bit hashes of their words' 64-bit hashes.
 
@@ -36,6 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -255,12 +256,18 @@ def bitmap_of(hashes: DataFrame) -> bytes | None:
 # --- the last level ------------------------------------------------------------------------------------------------
 
 
+def _unpacked(column: pa.Array) -> list[str]:
+    """Texts that travel compressed between the scans."""
+    unpacker = zstandard.ZstdDecompressor()
+    return [unpacker.decompress(x).decode() for x in column.to_pylist()]
+
+
 def _sifted(levels: list[int], shared: list):
     """One row per document: finished where no candidate is left, else with its words for the last level."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmaps = [Bitmap(s.value) for s in shared]
-        number = TaskContext.get().partitionId() << 33
+        number, packer = TaskContext.get().partitionId() << 33, zstandard.ZstdCompressor(level=3)
         for batch in batches:
             words = Words(batch.column("text"))
             n = np.diff(words.first)
@@ -272,7 +279,7 @@ def _sifted(levels: list[int], shared: list):
             for i, (a, b) in enumerate(zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True)):
                 own = b" ".join(raw[words.start[a] : words.end[b - 1]].split()) if b > a else b""
                 sha.append(None if hit[i] else hashlib.sha256(own).hexdigest())
-                text.append(own.decode() if hit[i] else None)
+                text.append(packer.compress(own) if hit[i] else None)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(number + np.arange(len(n))),
@@ -280,7 +287,7 @@ def _sifted(levels: list[int], shared: list):
                     batch.column("doc"),
                     pa.array(n.astype(np.int64)),
                     pa.array(sha, pa.string()),
-                    pa.array(text, pa.string()),
+                    pa.array(text, pa.binary()),
                 ],
                 names=["rid", "doc_id", "doc", "n_words", "sha", "text"],
             )
@@ -309,7 +316,7 @@ def _last_level(levels: list[int], shared: list):
         bitmaps = [Bitmap(s.value) for s in shared]
         held, size = [], 0
         for batch in batches:
-            words = Words(batch.column("text"))
+            words = Words(pa.array(_unpacked(batch.column("text")), pa.string()))
             at = candidates(words, levels, bitmaps)
             if not len(at):
                 continue
@@ -338,7 +345,7 @@ def _cut(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             removed, kept = [], []
-            for text, at in zip(batch.column("text").to_pylist(), batch.column("at").to_pylist(), strict=True):
+            for text, at in zip(_unpacked(batch.column("text")), batch.column("at").to_pylist(), strict=True):
                 words = text.split(" ")
                 starts = np.bincount(np.array(at or [], np.int64), minlength=len(words))
                 cover = np.cumsum(starts)
@@ -381,7 +388,7 @@ def _settled(documents: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
         shared.append(spark.sparkContext.broadcast(bits))
     folder = working_folder(spark, "substrings")
     texts.mapInArrow(
-        _sifted(levels, shared), "rid long, doc_id long, doc long, n_words long, sha string, text string"
+        _sifted(levels, shared), "rid long, doc_id long, doc long, n_words long, sha string, text binary"
     ).write.option("compression", "zstd").parquet(folder)
     sifted = spark.read.parquet(folder)
     clean = sifted.where("text IS NULL").select("doc_id", "n_words", "sha")
