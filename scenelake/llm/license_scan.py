@@ -4,11 +4,12 @@ Every rolling 3-gram of a document's words is hashed and joined to the gram
 positions of the templates (a fixed list, so that side is broadcast). A match
 votes for the diagonal "document position - template position". A phrase
 stands at a diagonal when all of its grams vote for it; the join compares the
-words themselves, so such a place is exact. For whole notices, diagonals of
-one template that lie within ``SLACK`` words of each other are merged
-(inserted or lost words move the rest of a notice to a neighbouring diagonal)
-and the span counts when ``COVERAGE`` of the template's words are covered and
-the span is not much longer than the template.
+words themselves, so such a place is exact. A whole notice stands on a single
+diagonal or on a run of diagonals of one template that lie within ``SLACK``
+words of each other (inserted or lost words move the rest of a notice to a
+neighbouring diagonal): a run counts when ``COVERAGE`` of the template's words
+are covered and its span is not much longer than the template. Every run is
+tried, so a repeat close by takes no notice away.
 
 Defined cases: null and empty texts have no words and no labels; documents of
 fewer than three words cannot hold a template; repeated rows are scanned
@@ -145,33 +146,73 @@ def votes(documents: DataFrame) -> DataFrame:
     )
 
 
+def _best_run(earlier: Column) -> Column:
+    """(coverage, start, end) of the best run of neighbouring diagonals that ends at the first of ``earlier``.
+
+    ``earlier`` lists diagonals downwards. Every run from there is tried, the single diagonal first, until a step is
+    longer than ``SLACK`` or the span too long; of equal coverage the shortest run counts, and none gives nulls.
+    """
+    none = F.struct(
+        F.lit(0).cast("long").alias("mask"),
+        earlier[0]["_lo"].alias("lo"),
+        earlier[0]["_hi"].alias("hi"),
+        earlier[0]["_diag"].alias("diag"),
+        F.lit(True).alias("open"),
+        *[F.lit(None).cast(t).alias(c) for c, t in (("coverage", "double"), ("start", "int"), ("end", "int"))],
+    )
+
+    def longer(run: Column, at: Column) -> Column:
+        mask, lo, hi = run["mask"].bitwiseOR(at["_mask"]), F.least(run["lo"], at["_lo"]), F.greatest(run["hi"], at["_hi"])
+        fits = run["open"] & (run["diag"] - at["_diag"] <= SLACK) & (hi - lo <= F.col("tlen") * STRETCH)
+        covered = _covered(mask)
+        better = fits & (covered >= COVERAGE) & (covered > F.coalesce(run["coverage"], F.lit(0.0)))
+        return F.struct(
+            mask.alias("mask"),
+            lo.alias("lo"),
+            hi.alias("hi"),
+            at["_diag"].alias("diag"),
+            fits.alias("open"),
+            F.when(better, covered).otherwise(run["coverage"]).alias("coverage"),
+            F.when(better, lo).otherwise(run["start"]).alias("start"),
+            F.when(better, hi).otherwise(run["end"]).alias("end"),
+        )
+
+    return F.aggregate(earlier, none, longer)
+
+
+def _covered(mask: Column) -> Column:
+    """Share of a template's words that the grams of ``mask`` cover."""
+    words = mask.bitwiseOR(F.shiftleft(mask, 1)).bitwiseOR(F.shiftleft(mask, 2))
+    return F.bit_count(words) / F.col("tlen")
+
+
 def spans(documents: DataFrame) -> DataFrame:
     """Verified spans: _rid, doc_id, n_words, label, base, start, end, coverage.
 
-    A document without a span has one row whose label is null.
+    One row per diagonal, with the best span that ends at it; spans of neighbouring diagonals may overlap. A row
+    without a span has a null label, and every document has a row.
     """
-    by_diagonal = Window.partitionBy("_rid", "tid").orderBy("_diag")
-    step = F.col("_diag") - F.lag("_diag").over(by_diagonal)
+    # No run within the bounds of its span reaches further back.
+    reach = max(int((STRETCH + 1) * len(words)) for _, _, base, words in templates() if not base)
+    back = Window.partitionBy("_rid", "tid").orderBy("_diag").rangeBetween(-reach, 0)
     # A phrase is exact on its own diagonal; only notices merge with their neighbours.
-    fresh = F.when(F.col("base") | (step > SLACK), 1).otherwise(0)
-    merged = (
+    notice = F.when(~F.col("base"), F.struct("_diag", "_mask", "_lo", "_hi"))
+    checked = (
         votes(documents)
-        .withColumn("_new", fresh)
-        .withColumn("_cluster", F.sum("_new").over(by_diagonal))
-        .groupBy("_rid", "doc_id", "_n", "tid", "label", "base", "tlen", "_cluster")
-        .agg(F.bit_or("_mask").alias("_mask"), F.min("_lo").alias("start"), F.max("_hi").alias("end"))
-    )
-    covered = F.bit_count(F.expr("_mask | shiftleft(_mask, 1) | shiftleft(_mask, 2)")) / F.col("tlen")
-    enough = F.when(F.col("base"), covered == 1).otherwise(
-        (covered >= COVERAGE) & (F.col("end") - F.col("start") <= F.col("tlen") * STRETCH)
+        .withColumn("_earlier", F.sort_array(F.collect_list(notice).over(back), asc=False))
+        .withColumn("_run", F.when(~F.col("base"), _best_run(F.col("_earlier"))))
     )
-    found = F.coalesce(enough, F.lit(False))
-    return merged.select(
+    exact = F.col("base") & (_covered(F.col("_mask")) == 1)
+    found = F.coalesce(exact | F.col("_run.coverage").isNotNull(), F.lit(False))
+    of = lambda own, run: F.when(found, F.when(F.col("base"), own).otherwise(F.col(f"_run.{run}"))).alias(run)
+    return checked.select(
         "_rid",
         "doc_id",
         F.col("_n").alias("n_words"),
-        *[F.when(found, F.col(c)).alias(c) for c in ("label", "base", "start", "end")],
-        F.when(found, covered).alias("coverage"),
+        *[F.when(found, F.col(c)).alias(c) for c in ("label", "base")],
+        of(F.col("_lo"), "start"),
+        of(F.col("_hi"), "end"),
+        of(_covered(F.col("_mask")), "coverage"),
     )
 
 
