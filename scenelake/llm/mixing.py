@@ -6,7 +6,8 @@ whole as often as its target allows; the remaining budget is a subset-sum
 problem over its documents. That problem only sees how many documents have
 which exact length: a first selection spreads the budget evenly over the
 lengths, then a bounded-knapsack dynamic program fits what is left (at most
-about one document) to the word. The chosen number of documents of each
+about one document) to the word. Sums above the budget are fitted likewise by
+what they leave out, and the nearer of the two counts. The chosen number of documents of each
 length are those with the smallest keyed hashes.
 
 Scale: documents are reduced to (source, length) counts before anything is
@@ -42,6 +43,7 @@ CAP = 3
 SEED = 42
 BINS = 1 << 16
 BUDGET_BITS = 1 << 20  # widest budget the dynamic program tries to fit; a greedy fill comes closer first
+EXACT_BITS = 1 << 26  # a budget times its items, up to which the program sees all documents of a source at once
 
 
 def size(text: Column | str) -> Column:
@@ -79,9 +81,9 @@ def targets(totals: DataFrame, weights: Sequence[float] = WEIGHTS, cap: int = CA
 
 
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many documents of each length to choose so that their lengths sum as near to ``budget`` as they can.
+    """How many documents of each length to choose for a high sum of lengths up to ``budget``.
 
-    ``lengths`` are different and positive; budget is at most the sum of all.
+    ``lengths`` are different and positive. Small problems are solved exactly, others to about one document.
     """
     total = int((lengths * counts).sum())
     chosen = np.zeros(len(lengths), dtype=np.int64)
@@ -89,6 +91,8 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
         return chosen
     if budget >= total:
         return counts.copy()
+    if sum(int(n).bit_length() for n in counts) * budget <= EXACT_BITS:
+        return knapsack(lengths, counts, budget)
     # Longest first, each length takes its share and hands the rounding on to the shorter ones.
     order = np.argsort(-lengths)
     share, carried = budget / total, 0.0
@@ -117,6 +121,21 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     return chosen + knapsack(lengths, counts - chosen, window)
 
 
+def nearest(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
+    """How many documents of each length to choose so that their lengths sum as near to ``budget`` as they can.
+
+    The lowest sum above the budget is what the highest sum up to the rest of all words leaves out. Of two sums
+    equally near the one below counts.
+    """
+    below = fit(lengths, counts, budget)
+    short = budget - int((lengths * below).sum())
+    total = int((lengths * counts).sum())
+    if short <= 0 or budget >= total:
+        return below
+    above = counts - fit(lengths, counts, total - budget)
+    return above if int((lengths * above).sum()) - budget < short else below
+
+
 def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """Bounded subset sum: the highest reachable sum up to ``budget``.
 
@@ -151,7 +170,7 @@ def _fit_source(pdf: pd.DataFrame) -> pd.DataFrame:
     source_size, target = int(pdf["source_size"].iloc[0]), float(pdf["target"].iloc[0])
     copies = min(int(target // source_size), CAP) if source_size else 0
     pdf["copies"] = copies
-    pdf["extra"] = fit(lengths, counts, int(round(target - copies * source_size))) if source_size else 0
+    pdf["extra"] = nearest(lengths, counts, int(round(target - copies * source_size))) if source_size else 0
     return pdf[["source", "size", "n", "source_size", "target", "copies", "extra"]]
 
 

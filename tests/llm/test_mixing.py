@@ -90,3 +90,36 @@ def test_knapsack_is_best(counts, budget):
     chosen = mixing.knapsack(lengths, numbers, budget)
     assert (chosen <= numbers).all()
     assert int((lengths * chosen).sum()) == max(r for r in reach if r <= budget)
+
+
+def test_long_documents_are_fitted_from_above():
+    one = lambda lengths, counts, budget: mixing.nearest(np.array(lengths), np.array(counts), budget).tolist()
+    assert one([1000], [2], 999) == [1]
+    assert one([1_000_000, 10], [1, 10], 900_000) == [1, 0]
+    assert one([1_000_000, 10], [1, 10], 400_000) == [0, 10]
+    assert one([10], [3], 15) == [1] and one([10], [3], 0) == [0] and one([10], [3], 30) == [3]
+    # Too many words for one program over all of them.
+    assert one([900_000_000, 10], [1, 10], 800_000_000) == [1, 0]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.dictionaries(st.integers(1, 60), st.integers(1, 9), min_size=1, max_size=8), st.data())
+def test_nearest_is_best(counts, data):
+    lengths, numbers = np.array(list(counts), np.int64), np.array(list(counts.values()), np.int64)
+    reach = {0}
+    for length, n in counts.items():
+        reach = {r + k * length for r in reach for k in range(n + 1)}
+    budget = data.draw(st.integers(0, max(reach)))
+    chosen = mixing.nearest(lengths, numbers, budget)
+    assert (chosen >= 0).all() and (chosen <= numbers).all()
+    assert abs(int((lengths * chosen).sum()) - budget) == min(abs(r - budget) for r in reach)
+
+
+def test_source_of_one_long_document(spark):
+    # Weights 5, 2 and 1: the targets are 3000, 7605 and 3803 words.
+    rows = [(1, "w " * 1000, "a"), (2, "w " * 10_000, "b"), *[(10 + i, "w " * 10, "b") for i in range(10)],
+            (30, "w " * 3300, "c"), (31, "w " * 8, "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want, taken = check(df, spark)
+    assert {s: round(w) for s, w in want.items()} == {"a": 3000, "b": 7605, "c": 3803}
+    assert taken == {"a": 3000, "b": 10_000, "c": 3316}
