@@ -1,6 +1,6 @@
 """Mixing sources to target weights by subset-sum budget fitting.
 
-Every source gets a share of all words by weight; a target stops at ``CAP``
+Every source gets a share of all words by weight; a target stops at ``cap``
 times its source's size and the excess is shared out again. A source is taken
 whole as often as its target allows; the remaining budget is a subset-sum
 problem over its documents. That problem only sees how many documents have
@@ -164,11 +164,11 @@ def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray
     return chosen
 
 
-def _fit_source(pdf: pd.DataFrame) -> pd.DataFrame:
+def _fit_source(pdf: pd.DataFrame, cap: int = CAP) -> pd.DataFrame:
     """One source's counts by length, with the number to choose of each length once more than the whole copies."""
     lengths, counts = pdf["size"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64)
     source_size, target = int(pdf["source_size"].iloc[0]), float(pdf["target"].iloc[0])
-    copies = min(int(target // source_size), CAP) if source_size else 0
+    copies = min(int(target // source_size), cap) if source_size else 0
     pdf["copies"] = copies
     pdf["extra"] = nearest(lengths, counts, int(round(target - copies * source_size))) if source_size else 0
     return pdf[["source", "size", "n", "source_size", "target", "copies", "extra"]]
@@ -182,8 +182,9 @@ def plan(sized: DataFrame, weights: Sequence[float] = WEIGHTS, cap: int = CAP) -
     told = lengths.join(aim, F.col("source").eqNullSafe(F.col("_source"))).select(
         "source", "size", "n", "source_size", "target"
     )
+    fitted = lambda pdf: _fit_source(pdf, cap)
     schema = "source string, size long, n long, source_size long, target double, copies int, extra long"
-    return told.where("size > 0").groupBy("source").applyInPandas(_fit_source, schema).unionByName(
+    return told.where("size > 0").groupBy("source").applyInPandas(fitted, schema).unionByName(
         # Documents without words belong to the mix, but take nothing.
         told.where("size = 0").select("*", F.lit(0).alias("copies"), F.lit(0).cast("long").alias("extra"))
     )

@@ -123,3 +123,18 @@ def test_source_of_one_long_document(spark):
     want, taken = check(df, spark)
     assert {s: round(w) for s, w in want.items()} == {"a": 3000, "b": 7605, "c": 3803}
     assert taken == {"a": 3000, "b": 10_000, "c": 3316}
+
+
+@pytest.mark.parametrize("cap", [1, 2, 5])
+def test_other_caps(spark, cap):
+    # Weights 5 and 2: the small source wants far more than its five times.
+    rows = [(i, "w " * (3 + i % 4), "a") for i in range(10)] + [(100 + i, "w " * (1 + i % 9), "b") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = defaultdict(int)
+    got = mixing.mix(df, cap=cap).collect()
+    for r in got:
+        assert 0 <= r.copies <= cap
+        taken[r.source] += r.taken
+    want = {r.source: r.target for r in got}
+    assert want["a"] == cap * sum(3 + i % 4 for i in range(10))
+    assert all(abs(taken[s] - want[s]) <= 1 for s in want)
