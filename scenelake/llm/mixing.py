@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from scenelake.llm.common import WORDS, whole
-from scenelake.plans.ordered import ordered_index
+from scenelake.plans.ordered import ordered_index, ranked
 from scenelake.session import materialise
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -243,9 +243,10 @@ def apply_mix(
 ) -> DataFrame:
     """The mixed documents with all their columns; a document taken n times is n rows.
 
-    Rows that share a doc_id, a source and a size are mixed alike.
+    Rows that share a doc_id, a source and a size share their copies evenly, what is left going to the first of them
+    by a hash of their text; they take as many words as in ``mix``.
     """
-    chosen = (
+    chosen = materialise(
         mix(documents, weights, cap, seed)
         .groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"))
         .agg(F.sum("copies").alias("_all"), F.count("*").alias("_rows"))
@@ -261,6 +262,19 @@ def apply_mix(
         & F.col("_from").eqNullSafe(F.col("_source"))
         & (F.col("_own") == F.col("_size"))
     )
-    # Repeated rows share their copies, rounded down; the mix stays within the cap.
-    copies = F.floor(F.col("_all") / F.col("_rows")).cast("int")
-    return packed.join(chosen, same).select("_doc", F.explode(F.array_repeat(F.lit(0), copies))).select("_doc.*")
+    each = F.floor(F.col("_all") / F.col("_rows")).cast("int")
+    uneven = F.col("_all") % F.col("_rows") != 0
+    taken = packed.join(chosen.where(~uneven), same).select("_doc", each.alias("_copies"))
+    if not chosen.where(uneven).isEmpty():
+        # Few rows as a rule, but without doc_ids a group may be any share of the table.
+        numbered = ranked(
+            packed.join(chosen.where(uneven), same).select(
+                "_doc", "_doc_id", "_source", "_size", "_all", "_rows", F.xxhash64(whole("_doc.text")).alias("_by")
+            ),
+            ["_doc_id", "_source", "_size"],
+            [F.col("_by")],
+            "_nth",
+        )
+        more = (F.col("_nth") <= F.col("_all") % F.col("_rows")).cast("int")
+        taken = taken.unionByName(numbered.select("_doc", (each + more).alias("_copies")))
+    return taken.select("_doc", F.explode(F.array_repeat(F.lit(0), F.col("_copies")))).select("_doc.*")

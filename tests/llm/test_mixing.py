@@ -138,3 +138,24 @@ def test_other_caps(spark, cap):
     want = {r.source: r.target for r in got}
     assert want["a"] == cap * sum(3 + i % 4 for i in range(10))
     assert all(abs(taken[s] - want[s]) <= 1 for s in want)
+
+
+def test_repeated_rows_take_all_their_words(spark):
+    # Of rows without doc_id, and of repeated ones, the fit takes some but not all.
+    rows = [(None, f"w{i} " * 5, "a", i) for i in range(60)] + [(7, f"v{i} " * 4, "b", i) for i in range(70)]
+    rows += [(100 + i, "w " * (2 + i % 9), "c", i) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, at int").repartition(4)
+    want, plan = Counter(), Counter()
+    for r in mixing.mix(df).collect():
+        want[r.source] += r.taken
+        plan[(r.doc_id, r.source, r.size)] += r.copies
+    assert plan[(None, "a", 5)] % 60 and plan[(7, "b", 4)] % 70
+    got, copies, taken = mixing.apply_mix(df).collect(), Counter(), Counter()
+    for r in got:
+        copies[(r.source, r.at)] += 1
+        taken[r.source] += len(r.text.split())
+    assert taken == want and max(copies.values()) <= mixing.CAP
+    by_text = [copies[("a", i)] for i in range(60)]
+    assert max(by_text) - min(by_text) == 1
+    again = Counter((r.source, r.at) for r in mixing.apply_mix(df.repartition(3)).collect())
+    assert {k: n for k, n in again.items() if k[0] != "c"} == {k: n for k, n in copies.items() if k[0] != "c"}
