@@ -92,7 +92,8 @@ def fingerprint_batch(texts: list[str], shingle: int = SHINGLE, seed: int = HASH
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         fps = fingerprint_batch(batch.column("text").to_pylist())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+        rest = [name for name in batch.schema.names if name != "text"]
+        yield pa.RecordBatch.from_arrays([*map(batch.column, rest), pa.array(fps.view(np.int64))], names=[*rest, "fp"])
 
 
 def fingerprints(documents: DataFrame) -> DataFrame:
@@ -223,9 +224,8 @@ def links(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return spread.join(own.hint("shuffle_hash"), (spread["anchor"] == own["anchor"]) & close).select("a", "b")
 
 
-def near_duplicates(documents: DataFrame) -> DataFrame:
-    """doc_id, fingerprint, component_id, n_links (other fingerprints linked to the document's own)."""
-    stamped = materialise(fingerprints(documents))
+def _grouped(stamped: DataFrame) -> DataFrame:
+    """``stamped`` (doc_id, fp and more) with ``_root``, one fingerprint of the component, component_id and n_links."""
     distinct = materialise(stamped.groupBy("fp").agg(F.min("doc_id").alias("_first")))
     pairs = materialise(links(distinct.select("fp")).distinct())
     degree = (
@@ -243,9 +243,14 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     named = (
         rooted.join(names, "_root")
         .join(degree, F.col("fp") == F.col("_a"), "left")
-        .select(F.col("fp").alias("_fp"), "component_id", F.coalesce("_links", F.lit(0)).alias("n_links"))
+        .select(F.col("fp").alias("_fp"), "_root", "component_id", F.coalesce("_links", F.lit(0)).alias("n_links"))
     )
-    return stamped.join(named, F.col("fp") == F.col("_fp")).select(
+    return stamped.join(named, F.col("fp") == F.col("_fp")).drop("_fp")
+
+
+def near_duplicates(documents: DataFrame) -> DataFrame:
+    """doc_id, fingerprint, component_id, n_links (other fingerprints linked to the document's own)."""
+    return _grouped(materialise(fingerprints(documents))).select(
         "doc_id",
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         "component_id",
@@ -254,15 +259,32 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 
 
 def one_of_each(documents: DataFrame) -> DataFrame:
-    """The document that names its component, one row per component, with all columns.
+    """One row per component, with all columns: one that names it, or any where all doc_ids are null.
 
-    Components of null doc_ids only are kept whole: nothing names one of them.
+    Rows of one doc_id are told apart by a hash of their text, so each counts in its own component. Of several rows
+    that could stay the one with the smallest hash does.
     """
-    stay = near_duplicates(documents).where("doc_id IS NULL OR doc_id = component_id").select(
-        F.col("doc_id").alias("_id")
-    ).distinct()
-    packed = documents.select(F.struct("*").alias("_doc"), F.col("doc_id").cast("long").alias("_doc_id"))
-    kept = packed.join(stay, F.col("_doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    one = Window.partitionBy("_doc_id").orderBy(F.xxhash64("_doc.text"))
-    named = kept.where("_doc_id IS NOT NULL").withColumn("_rn", F.row_number().over(one)).where("_rn = 1")
-    return named.select("_doc.*").unionByName(kept.where("_doc_id IS NULL").select("_doc.*"))
+    own = lambda text: F.xxhash64(whole(text))
+    stamped = materialise(
+        documents.select(
+            F.col("doc_id").cast("long").alias("doc_id"), own("text").alias("_own"), whole("text").alias("text")
+        ).mapInArrow(_fingerprints, "doc_id long, _own long, fp long")
+    )
+    stay = (
+        _grouped(stamped)
+        .where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+        .groupBy("_root", F.col("doc_id").alias("_id"))
+        .agg(F.min("_own").alias("_least"))
+    )
+    packed = documents.select(
+        F.struct("*").alias("_doc"), F.col("doc_id").cast("long").alias("_doc_id"), own("text").alias("_key")
+    )
+    same = F.col("_doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_least"))
+    # Repeated rows of the one that stays.
+    one = Window.partitionBy("_doc_id", "_key").orderBy("_key")
+    return (
+        packed.join(stay, same, "left_semi")
+        .withColumn("_rn", F.row_number().over(one))
+        .where("_rn = 1")
+        .select("_doc.*")
+    )

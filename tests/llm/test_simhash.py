@@ -101,3 +101,21 @@ def test_star_rounds(spark, edges):
         for a, b in edges:
             root[a] = root[b] = min(root[a], root[b])
     assert got == {n: r for n, r in root.items() if n != r}
+
+
+def test_one_row_of_every_component(spark):
+    draw = np.random.default_rng(6)
+    base = [" ".join(draw.choice(list("abcdefghij"), 300)) for _ in range(5)]
+    near = lambda text: text[:-1] + "z"
+    rows = [
+        (1, base[0], "x"), (1, base[1], "x"), (2, near(base[1]), "x"), (1, base[0], "x"),
+        (3, base[2], "x"), (None, base[2], "x"), (None, near(base[2]), "x"),
+        (None, base[3], "x"), (None, near(base[3]), "x"), (None, base[4], "x"),
+    ]
+    told = [brute_fingerprint(t) for t in base]
+    assert all((a ^ b).bit_count() > 4 for a, b in combinations(told, 2))
+    assert all((brute_fingerprint(near(t)) ^ fp).bit_count() <= 4 for t, fp in zip(base, told))
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3))
+    got = [(r.doc_id, next(i for i, t in enumerate(base) if r.text in (t, near(t)))) for r in kept.collect()]
+    assert sorted(got, key=lambda r: r[1]) == [(1, 0), (1, 1), (3, 2), (None, 3), (None, 4)]
+    assert (1, base[1]) in {(r.doc_id, r.text) for r in kept.collect()}
