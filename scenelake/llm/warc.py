@@ -10,7 +10,8 @@ Planning: one input partition per file; the writer starts a new file every
 ``maxFileBytes``, so files stay small enough to be the unit of work. Predicates
 on record_type, record_id, target_uri, refers_to, payload_digest and
 payload_length are pushed into the reader and decided on the headers alone;
-``payload=false`` skips every payload.
+``payload=false`` skips every payload and reads no more of a block than its
+HTTP header, which tells where the payload begins and so how long it is.
 
 A record of type ``response`` holds an HTTP header and the payload, one of type
 ``revisit`` only the HTTP header, whose Content-Length is the payload's length,
@@ -197,6 +198,16 @@ def _headers(head: bytes) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:])}
 
 
+def _front(reader: _Inflated | _Stored, length: int) -> int:
+    """Bytes of the HTTP header at the head of a block of ``length`` bytes, with the blank line after it."""
+    got = 0
+    while got < length:
+        got = min(max(2 * got, 1024), length)
+        if (end := reader.body(got).find(_END)) >= 0:
+            return end + len(_END)
+    return length
+
+
 def read_file(raw, gzipped: bool, wanted, with_payload: bool = True) -> Iterator[tuple]:
     """Records of one file that pass ``wanted(values by column)``, in the order of ``SCHEMA``."""
     reader = _Inflated(raw) if gzipped else _Stored(raw)
@@ -214,15 +225,17 @@ def read_file(raw, gzipped: bool, wanted, with_payload: bool = True) -> Iterator
             "payload_digest": head.get("warc-payload-digest", "").partition(":")[2] or None,
         }
         if wanted(values):
-            block = reader.body(length) if with_payload or values["record_type"] == "revisit" else None
+            http = head.get("content-type", "").startswith("application/http")
             size, payload = None, None
-            if block is not None:
-                http, _, rest = block.partition(_END) if head.get("content-type", "").startswith("application/http") else (
-                    b"", b"", block
-                )
-                told = [x for x in http.lower().split(b"\r\n") if x.startswith(b"content-length:")]
+            if with_payload or values["record_type"] == "revisit":
+                block = reader.body(length)
+                front, _, rest = block.partition(_END) if http else (b"", b"", block)
+                told = [x for x in front.lower().split(b"\r\n") if x.startswith(b"content-length:")]
                 payload = rest if values["record_type"] != "revisit" else None
                 size = len(rest) if payload is not None else int(told[0].split(b":")[1]) if told else None
+            else:
+                # The payload is what the HTTP header leaves of the block, also where that tells no length or another.
+                size = length - _front(reader, length) if http else length
             values["payload_length"] = size
             if wanted(values):
                 yield (*values.values(), payload if with_payload else None)
@@ -269,9 +282,7 @@ class WarcReader(DataSourceReader):
     def pushFilters(self, filters):
         """Keep what the headers decide; Spark does the rest."""
         for f in filters:
-            if type(f) in _TESTS and len(f.attribute) == 1 and f.attribute[0] in _COLUMNS and (
-                f.attribute[0] != "payload_length" or self.with_payload
-            ):
+            if type(f) in _TESTS and len(f.attribute) == 1 and f.attribute[0] in _COLUMNS:
                 self.tests.append((f.attribute[0], type(f), getattr(f, "value", None)))
             else:
                 yield f

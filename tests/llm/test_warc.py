@@ -111,3 +111,30 @@ def test_file_sizes_and_empty(spark, pages, tmp_path):
     none = str(tmp_path / "none")
     warc.archive_pages(pages.limit(0), none)
     assert warc.read_pages(spark, none).count() == 0
+
+
+def test_lengths_without_payloads(spark, archive):
+    whole = spark.read.format("warc").load(archive)
+    bare = spark.read.format("warc").option("payload", "false").load(archive)
+    lengths = lambda df: sorted((r.record_id or "", r.payload_length) for r in df.collect())
+    assert lengths(bare) == lengths(whole)
+    for test in ("payload_length >= 100", "payload_length < 100", "payload_length > 1000 and record_type = 'response'"):
+        assert lengths(bare.where(test)) == lengths(whole.where(test)) != []
+
+
+def test_lengths_of_foreign_blocks():
+    made, noise = records()
+
+    def other(block, kind="application/http; msgtype=response"):
+        head = f"WARC/1.1\r\nWARC-Type: response\r\nContent-Type: {kind}\r\nContent-Length: {len(block)}\r\n\r\n"
+        return head.encode() + block + b"\r\n\r\n"
+
+    http = b"HTTP/1.1 200 OK\r\nServer: " + b"x" * 5000
+    made += [other(http + b"\r\n\r\nbody"), other(http), other(b"a\r\n\r\nb", "text/plain"), other(b"")]
+    for gzipped, pack in ((True, warc.member), (True, gzip.compress), (False, bytes)):
+        raw, full = Counting(b"".join(map(pack, made))), Counting(b"".join(map(pack, made)))
+        got = [r[5:] for r in warc.read_file(raw, gzipped, lambda v: True, with_payload=False)]
+        assert got == [(n, None) for n in [*map(len, noise), 4, 0, 6, 0]]
+        assert [r[5] for r in warc.read_file(full, gzipped, lambda v: True)] == [n for n, _ in got]
+        if pack is not gzip.compress:
+            assert raw.taken < full.taken
