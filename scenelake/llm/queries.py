@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scenelake.llm import exact_dedup, language, license_scan, mixing, pieces, simhash, substrings, token_orc, topk, warc
+from scenelake.llm import (
+    alignment,
+    exact_dedup,
+    fim,
+    language,
+    license_scan,
+    mixing,
+    pieces,
+    simhash,
+    splitters,
+    substrings,
+    token_orc,
+    topk,
+    warc,
+)
 from scenelake.llm.common import table, working_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +91,18 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_topk_norms", topk.SQL)
 def op10_topk_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query("op11_splitter_shards", splitters.SQL)
+def op11_splitter_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitters.placements(splitters.shard(table(spark, sf_dir, "documents")))
+
+
+@query("op12_token_alignment")
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignments(table(spark, sf_dir, "documents"))
+
+
+@query("op13_fill_in_middle", fim.SQL)
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(fim.restore(fim.transform(table(spark, sf_dir, "documents"))))

@@ -20,4 +20,4 @@ def test_registered():
     import __spark_entry__ as contract
 
     assert set(QUERIES) | {"pipeline"} <= set(contract.queries())
-    assert [n.split("_")[0] for n in sorted(QUERIES, key=lambda n: int(n[2:].split("_")[0]))] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in sorted(QUERIES, key=lambda n: int(n[2:].split("_")[0]))] == [f"op{i}" for i in range(1, 14)]
