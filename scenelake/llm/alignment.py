@@ -29,8 +29,8 @@ than doc_id and text are ignored.
 from __future__ import annotations
 
 import hashlib
-import os
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import public_tokenizers
@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scenelake.llm.common import working_folder
+from scenelake.llm.token_orc import Encoder
 
 BYTE_LEVEL = "byte_bpe_50k.json"
 PIECES = "piece_bpe_32k.model"
@@ -78,18 +79,17 @@ class ByteLevel(Side):
     """A byte-level BPE of the tokenizers library; special tokens in a text are plain text."""
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        spelled, byte = [b""] * self.tokenizer.get_vocab_size(), _byte_of_character()
-        for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
+        self.encoder = Encoder(path, added=False)
+        tokenizer, byte = self.encoder.tokenizer, _byte_of_character()
+        spelled = [b""] * tokenizer.get_vocab_size()
+        for token, i in tokenizer.get_vocab(with_added_tokens=False).items():
             spelled[i] = bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode()
         super().__init__(spelled)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.tokenizer.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        flat, counts = self.encoder(pa.array([" " + t for t in texts], pa.string()))
+        ids, ends = flat.tolist(), np.cumsum(counts).tolist()
+        return [ids[a:b] for a, b in pairwise([0, *ends])]
 
 
 class PieceModel(Side):

@@ -1,6 +1,8 @@
+import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.orc as orc
 import public_tokenizers
 import pytest
@@ -36,11 +38,40 @@ def test_round_trip(spark, odd, written):
 
 def test_pieces_are_those_of_the_whole_text():
     texts = ["", "  ", " a", "a ", " \n b", "a \nb", "a\n b", "a\n\n b \n", "x <|endoftext|> y", "it's we'll 12 3",
-             "  a  b", "\x1c a\x1cb \x85 c", "é 日本 🙂 x"]
-    encoder = token_orc.encoder(PATH)
+             "  a  b", "\x1c a\x1cb \x85 c", "é 日本 🙂 x", "a \xa0 \xa0 b", "a\xa0 ", "a\xa0 <|endoftext|> b", "a \n"]
     for _ in range(2):
-        got = [np.frombuffer(x, "<i4").tolist() + [2] for x in encoder(texts)]
-        assert got == expected(texts)
+        assert encoded(token_orc.encoder(PATH), texts) == expected(texts)
+
+
+def encoded(encoder, texts):
+    flat, counts = encoder(pa.array(texts, pa.string()))
+    return [x.tolist() + [2] for x in np.split(flat, np.cumsum(counts)[:-1])]
+
+
+def test_all_blanks():
+    """Random texts over every blank of Unicode and Python, beside words, marks and the added token."""
+    draw = random.Random(11)
+    blanks = [chr(c) for c in range(0x110000) if chr(c).isspace()] + ["\u180e", "\u200b", "\ufeff"]
+    others = ["a", "word", "'s", "12", ".", "é", "日", "🙂", "<|endoftext|>", "$"]
+    for added in (True, False):
+        encoder, tokenizer = token_orc.Encoder(PATH, added), Tokenizer.from_file(PATH)
+        tokenizer.encode_special_tokens = not added
+        for _ in range(50):
+            texts = [
+                "".join(draw.choice(draw.choice([[" "], blanks, others, others[:4]])) for _ in range(draw.randrange(12)))
+                for _ in range(200)
+            ]
+            want = [x.ids + [2] for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
+            assert encoded(encoder, texts) == want
+
+
+def test_forgotten_words(monkeypatch):
+    """A memory far too small changes nothing but the time."""
+    monkeypatch.setattr(token_orc, "REMEMBERED", 6)
+    encoder = token_orc.Encoder(PATH)
+    for i in range(40):
+        texts = [f"some words and number {i % 7} again {i}", "the same words", ""]
+        assert encoded(encoder, texts) == expected(texts)
 
 
 def test_metadata(spark, written):
