@@ -43,6 +43,7 @@ VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
 REMEMBERED = 700_000  # words a worker remembers (some 150 MB); then it starts anew
 AT_ONCE = 20_000  # words encoded in one call
+GATHERED = 6 << 20  # bytes of text whose words are looked up together
 STRIPE_BYTES = 32 << 20
 # What Unicode or Python counts as white space.
 _WHITE = r"\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -169,10 +170,22 @@ def encoder(path: str, added: bool = True) -> Encoder:
     return _WORKER[path, added]
 
 
+def gathered(batches: Iterator[pa.RecordBatch], size: int = GATHERED) -> Iterator[pa.RecordBatch]:
+    """Neighbouring batches together, up to ``size`` bytes or one batch."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if held and sum(b.nbytes for b in held) + batch.nbytes > size:
+            yield pa.concat_batches(held)
+            held = []
+        held.append(batch)
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _encode(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, at = TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in gathered(batches):
             ids, lengths = encoder(path)(batch.column("text"))
             lengths = lengths + 1
             ends = np.cumsum(lengths)
