@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scenelake.plans.catalog import Catalog, Edge
-from scenelake.plans.ordered import ordered_index
 from scenelake.plans.scenarios import SCENARIOS, Scenario
+from scenelake.plans.selection import Selection
 from scenelake.plans.shards import shuffled, with_shards
 
 SPLITS = ("all", "training", "validation", "testing")
@@ -24,8 +24,9 @@ class SceneQuery:
 
     ``limit=0`` means no limit. A limit or an offset always sorts by a total
     order: the asked-for column, else a default uid, then the tables' keys.
-    Such a page is cut from row numbers, whatever its size, which takes jobs
-    when the request is built; counts and types never number anything.
+    Such a page is a filter between two keys, whatever its size. They are found
+    by counting when the request is built; nothing is sorted, numbered or
+    written for it. Counts and types need no page.
     """
 
     catalog: Catalog
@@ -150,13 +151,13 @@ class SceneQuery:
             and c not in self.catalog.keys[t]
         ]
 
-    def _page(self, df: DataFrame, order: list[Column]) -> DataFrame:
-        """Rows offset to offset + limit of the order, cut from distributed row numbers."""
-        indexed, _ = ordered_index(df, order)
-        inside = F.col("row_idx") >= self.offset
-        if self.limit:
-            inside = inside & (F.col("row_idx") < self.offset + self.limit)
-        return indexed.where(inside).drop("row_idx")
+    def _page(self, df: DataFrame, order: list[str]) -> DataFrame:
+        """Rows offset to offset + limit of the order, found by counting; the first ranges are drawn from
+        the table that holds the leading column.
+        """
+        table, column = self._order_source()
+        leading = self.catalog.table(table).select(column)
+        return Selection(df, order).page(self.offset, self.limit, leading)
 
     def _narrow(self) -> tuple[DataFrame, list[Column], list[tuple[str, str]]]:
         """Matching rows before paging: result columns ``_c<i>``, sort columns ``_o<i>``,
@@ -174,7 +175,9 @@ class SceneQuery:
 
     def _paged(self) -> tuple[DataFrame, list[Column], list[tuple[str, str]]]:
         narrow, order, late = self._narrow()
-        return (self._page(narrow, order) if self.limit or self.offset else narrow), order, late
+        if self.limit or self.offset:
+            narrow = self._page(narrow, [f"_o{i}" for i in range(len(self.order_columns()))])
+        return narrow, order, late
 
     def _fetch(self, page: DataFrame, late: list[tuple[str, str]]) -> DataFrame:
         """Join the payload columns back onto the rows that survived the page."""

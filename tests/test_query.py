@@ -211,10 +211,10 @@ def test_catalog_listings(spark, cat):
     assert profile[("weather", "custom")] == 2 and profile[("camera", "image")] == 5
 
 
-def test_types_and_counts_number_nothing(spark, cat, monkeypatch):
+def test_types_and_counts_need_no_page(spark, cat, monkeypatch):
     import scenelake.plans.query as module
 
-    monkeypatch.setattr(module, "ordered_index", None)
+    monkeypatch.setattr(module, "Selection", None)
     request = SceneQuery(cat, {"weather": ["weather_uid", "time"]}, limit=2, offset=1)
     assert [c for c, _ in request.dtypes()] == ["weather_uid", "time"]
     assert request.count() == 2
