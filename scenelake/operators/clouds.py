@@ -12,70 +12,7 @@ from pyspark.sql import types as T
 
 SAMPLE_POINTS = 16384
 
-_CELL = 2.0  # metres; edge of the finest grid cell
-_SALT = 8  # parts a grid cell's points are dealt into; its boxes are copied to each
-_SLACK = 1e-6  # keeps points on a box face inside the cells the box reserves
-
-
-def inside_box(box: str = "", point: str = "") -> Column:
-    """Point within a rotated box, faces included; ``_cos`` and ``_sin`` belong to the box's yaw."""
-    dx = F.col(f"{point}x") - F.col(f"{box}x")
-    dy = F.col(f"{point}y") - F.col(f"{box}y")
-    dz = F.col(f"{point}z") - F.col(f"{box}z")
-    along = F.col("_cos") * dx + F.col("_sin") * dy
-    across = F.col("_cos") * dy - F.col("_sin") * dx
-    return (
-        (F.abs(along) <= F.col(f"{box}length") / 2)
-        & (F.abs(across) <= F.col(f"{box}width") / 2)
-        & (F.abs(dz) <= F.col(f"{box}height") / 2)
-    )
-
-
-def points_in_boxes(points: DataFrame, boxes: DataFrame, sweep: str = "lidar_uid") -> DataFrame:
-    """(sweep, box_idx, points_in_box) for the boxes that hold at least one point.
-
-    ``points`` has (sweep, x, y, z); ``boxes`` has (sweep, box_idx, x, y, z,
-    length, width, height, yaw in radians). Both sides meet in ground-plane
-    cells. A box picks the grid whose cells are as large as its footprint and
-    so reserves at most four of them, whatever its size; a point enters one
-    cell of every grid in use. A crowded cell is dealt into parts.
-    """
-    cos, sin = F.cos("yaw"), F.sin("yaw")
-    half_x = (F.abs(cos) * F.col("length") + F.abs(sin) * F.col("width")) / 2 + _SLACK
-    half_y = (F.abs(sin) * F.col("length") + F.abs(cos) * F.col("width")) / 2 + _SLACK
-    grid = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(half_x, half_y) * 2 / _CELL))).cast("int")
-    sized = boxes.select(
-        sweep,
-        "box_idx",
-        *[F.col(c).alias(f"b_{c}") for c in ("x", "y", "z", "length", "width", "height")],
-        cos.alias("_cos"),
-        sin.alias("_sin"),
-        half_x.alias("_hx"),
-        half_y.alias("_hy"),
-        grid.alias("_grid"),
-    )
-    # At most one value per power of two, so this list stays tiny.
-    grids = sorted(r["_grid"] for r in sized.select("_grid").distinct().collect())
-    edge = F.pow(F.lit(2.0), F.col("_grid")) * _CELL
-    cell = lambda at: F.floor(at / edge)
-    reserved = (
-        sized.withColumn("_cx", F.explode(F.sequence(cell(F.col("b_x") - F.col("_hx")), cell(F.col("b_x") + F.col("_hx")))))
-        .withColumn("_cy", F.explode(F.sequence(cell(F.col("b_y") - F.col("_hy")), cell(F.col("b_y") + F.col("_hy")))))
-        .withColumn("_part", F.explode(F.array(*[F.lit(i).cast("long") for i in range(_SALT)])))
-        .drop("_hx", "_hy")
-    )
-    placed = points.select(
-        sweep,
-        *[F.col(a).cast("double").alias(f"p_{a}") for a in "xyz"],
-        F.explode(F.array(*[F.lit(g) for g in grids]).cast("array<int>")).alias("_grid"),
-    ).select(
-        "*",
-        cell(F.col("p_x")).alias("_cx"),
-        cell(F.col("p_y")).alias("_cy"),
-        F.pmod(F.xxhash64("p_x", "p_y", "p_z"), F.lit(_SALT)).alias("_part"),
-    )
-    met = placed.join(reserved, [sweep, "_grid", "_cx", "_cy", "_part"]).where(inside_box("b_", "p_"))
-    return met.groupBy(sweep, "box_idx").agg(F.count("*").alias("points_in_box"))
+_SLACK = 1e-6  # keeps points on a box face within the reach searched
 
 
 def _held(points: np.ndarray, boxes: np.ndarray) -> list[int]:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scenelake.operators import clouds as C
+from scenelake.operators.pyramid import points_in_boxes
 
 BOX = "lidar_uid INT, box_idx INT, x DOUBLE, y DOUBLE, z DOUBLE, length DOUBLE, width DOUBLE, height DOUBLE, yaw DOUBLE"
 POINT = "lidar_uid INT, x DOUBLE, y DOUBLE, z DOUBLE"
@@ -18,7 +19,7 @@ def inside(p, b):
 
 
 def counts(spark, points, boxes):
-    out = C.points_in_boxes(spark.createDataFrame(points, POINT), spark.createDataFrame(boxes, BOX))
+    out = points_in_boxes(spark.createDataFrame(points, POINT), spark.createDataFrame(boxes, BOX))
     return {(r.lidar_uid, r.box_idx): r.points_in_box for r in out.collect()}
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scenelake.functions.taxonomy import WAYMO_LIDAR
-from scenelake.operators import clouds, geometry
+from scenelake.operators import clouds, geometry, pyramid
 from scenelake.sources import frames
 from workload.labels import _RASTER_SQL
 from workload.registry import query, rounded, table
@@ -66,7 +66,7 @@ _INSIDE = """abs(cos(b.yaw)*(p.x-b.x) + sin(b.yaw)*(p.y-b.y)) <= b.length/2
     f"JOIN points p ON p.vec_id = b.vec_id AND {_INSIDE} GROUP BY ALL",
 )
 def points_in_box(spark, sf_dir):
-    return clouds.points_in_boxes(point_rows(spark, sf_dir), box_rows(spark, sf_dir), "vec_id")
+    return pyramid.points_in_boxes(point_rows(spark, sf_dir), box_rows(spark, sf_dir), "vec_id")
 
 
 @query(
@@ -134,7 +134,7 @@ def points_in_box_by_label(spark, sf_dir):
     )
     # Box numbers are unique within a sweep.
     boxes = boxes.withColumn("box_idx", F.col("vec_id") * 4 + F.col("box_idx"))
-    counts = clouds.points_in_boxes(points, boxes, "label")
+    counts = pyramid.points_in_boxes(points, boxes, "label")
     return counts.select(
         F.floor(F.col("box_idx") / 4).cast("long").alias("vec_id"), (F.col("box_idx") % 4).alias("box_idx"), "points_in_box"
     )
