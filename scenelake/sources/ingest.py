@@ -32,21 +32,21 @@ LABEL_TABLES = {
 def _cast(df: DataFrame, table: str) -> DataFrame:
     """Bring nested columns to the stored types, by field name."""
     fields = schemas.table_schema(table).fields
-    return df.select(*[_shaped(F.col(f.name), df.schema[f.name].dataType, f.dataType).alias(f.name) for f in fields])
+    return df.select(*[shaped(F.col(f.name), df.schema[f.name].dataType, f.dataType).alias(f.name) for f in fields])
 
 
-def _shaped(column, have, want):
+def shaped(column, have, want):
     if have == want:
         return column
     kind = want.typeName()
     if kind == "struct" and have.typeName() == "struct":
         parts = []
         for f in want.fields:
-            inner = _shaped(column[f.name], have[f.name].dataType, f.dataType) if f.name in have.names else F.lit(None).cast(f.dataType)
+            inner = shaped(column[f.name], have[f.name].dataType, f.dataType) if f.name in have.names else F.lit(None).cast(f.dataType)
             parts.append(inner.alias(f.name))
         return F.when(column.isNotNull(), F.struct(*parts))
     if kind == "array" and have.typeName() == "array":
-        return F.transform(column, lambda x: _shaped(x, have.elementType, want.elementType))
+        return F.transform(column, lambda x: shaped(x, have.elementType, want.elementType))
     return column.cast(want)
 
 
@@ -54,7 +54,7 @@ def _typed(rows: DataFrame, sensor: str, key: list[str]) -> DataFrame:
     """A sensor batch's key, order and stored columns, brought to the stored types."""
     wanted = {f.name: f.dataType for t in (sensor, *LABEL_TABLES[sensor]) for f in schemas.table_schema(t).fields}
     kept = [c for c in (*SENSOR_VALUES[sensor], *LABEL_TABLES[sensor]) if c in rows.columns]
-    return rows.select(*key, "seq", *[_shaped(F.col(c), rows.schema[c].dataType, wanted[c]).alias(c) for c in kept])
+    return rows.select(*key, "seq", *[shaped(F.col(c), rows.schema[c].dataType, wanted[c]).alias(c) for c in kept])
 
 
 def _staged(df: DataFrame, root: str | None) -> DataFrame:
