@@ -67,3 +67,52 @@ def test_propagation_bounds(spark, tmp_path):
     ingest.append_available(labels.propagate(f, e), str(tmp_path / "out"), str(tmp_path / "cp"))
     got = sorted((r.weather_uid, r.seq) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert got == [(1, 1), (2, 1), (2, 2), (3, 1), (3, 2), (4, 2)]
+
+
+@pytest.fixture
+def rocks(spark):
+    name, value = labels.STATE_STORE
+    spark.conf.set(name, value)
+    yield
+    spark.conf.unset(name)
+
+
+BIG = (1 << 60) + 1
+MIXED = "location STRING, time TIMESTAMP, weather_uid BIGINT, seq BIGINT, label STRING"
+
+
+def test_winners_by_state(spark, tmp_path, rocks):
+    """One row per frame; a label that comes late but within the delay still wins, one beyond it does not count."""
+    stream = lambda: labels.propagate_winners(ingest.watch(spark, MIXED, str(tmp_path / "in"), "*.parquet"), "100 seconds")
+
+    def run(rows):
+        drop(spark, tmp_path / "in", rows, MIXED)
+        ingest.append_available(stream(), str(tmp_path / "out"), str(tmp_path / "cp"))
+        return sorted((r.weather_uid - BIG, r.label) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    frame = lambda uid, s, place="p": (place, at(s), uid + BIG, None, None)
+    label = lambda seq, s, text, place="p": (place, at(s), None, seq, text)
+    assert run([frame(1, 0), frame(2, 60), frame(3, 61), frame(4, 30, "q"), label(1, 0, "wet"), label(9, 70, "dry")]) == []
+    # Late by 80 seconds against 100: it covers frames 2 and 3 and outranks the first.
+    assert run([label(5, 10, "late"), frame(5, 90)]) == []
+    assert run([frame(6, 400, "q")]) == [(1, "wet"), (2, "late"), (3, "late"), (5, "dry")]
+    # The slot is settled; nothing changes any more.
+    assert run([label(99, 0, "too late"), frame(7, 900, "q")]) == [(1, "wet"), (2, "late"), (3, "late"), (5, "dry")]
+
+
+def test_winners_match_brute_force():
+    import random
+
+    import pandas as pd
+
+    draw = random.Random(2)
+    for _ in range(60):
+        frames = [(i, draw.randrange(40)) for i in range(draw.randrange(25))]
+        given = [(draw.randrange(40), s, f"l{s}") for s in draw.sample(range(-50, 50), draw.randrange(12))]
+        want = []
+        for uid, t in frames:
+            over = [(s, v) for a, s, v in given if a <= t <= a + 7]
+            if over:
+                want.append((uid, max(over)[1]))
+        got = labels.winners_in(pd.DataFrame(frames, columns=["weather_uid", "at"]), pd.DataFrame(given, columns=["at", "seq", "label"]), 7)
+        assert sorted(zip(got["weather_uid"], got["label"], strict=True)) == sorted(want)

@@ -54,6 +54,35 @@ def stream_propagate(spark, sf_dir):
     return _drain(spark, covered).select("weather_uid", "seq", "label")
 
 
+@query(
+    "stream_winner",
+    view_sql("frames", "label_events") + """SELECT f.weather_uid, arg_max(e.label, e.seq) AS label FROM label_events e
+    JOIN frames f ON e.location = f.location AND f.time >= e.time AND f.time <= e.time + INTERVAL 600 SECONDS
+    GROUP BY f.weather_uid""",
+)
+def stream_winner(spark, sf_dir):
+    """One label per frame, kept as state until the watermark passes. A closing row, a day after the last event, ends the stream."""
+    end = table(spark, sf_dir, "events").agg((F.max("ts") + F.expr("INTERVAL 1 DAY")).cast("timestamp").alias("time"))
+    folder = _folder(spark)
+    shape = "location STRING, time TIMESTAMP, weather_uid BIGINT, seq BIGINT, label STRING"
+    nothing = {c: F.lit(None).cast(k) for c, k in (("location", "string"), ("weather_uid", "bigint"), ("seq", "bigint"), ("label", "string"))}
+    end.withColumns(nothing).write.parquet(f"{folder}/end")
+    absent = lambda kind: F.lit(None).cast(kind)
+    frames = _stream(spark, sf_dir, "frames").select(
+        "location", "time", "weather_uid", absent("bigint").alias("seq"), absent("string").alias("label")
+    )
+    events = _stream(spark, sf_dir, "label_events").select("location", "time", absent("bigint").alias("weather_uid"), "seq", "label")
+    rows = frames.union(events).union(ingest.watch(spark, shape, f"{folder}/end").select(*frames.columns))
+    name, value = labels.STATE_STORE
+    before = spark.conf.get(name)
+    spark.conf.set(name, value)
+    try:
+        won = _drain(spark, labels.propagate_winners(rows, delay="1 hour", seconds=600))
+    finally:
+        spark.conf.set(name, before)
+    return won.select("weather_uid", "label")
+
+
 @query(
     "stream_ingest",
     view_sql("samples") + """SELECT location, time_key, min(weather_uid) AS first_uid FROM
