@@ -14,6 +14,7 @@ from scenelake.plans.catalog import Catalog, Edge
 from scenelake.plans.scenarios import SCENARIOS, Scenario
 from scenelake.plans.selection import Selection
 from scenelake.plans.shards import shuffled, with_shards
+from scenelake.sources.payloads import DECODERS, decode
 
 SPLITS = ("all", "training", "validation", "testing")
 
@@ -204,6 +205,12 @@ class SceneQuery:
         plan = self._fetch(page, late)
         return (plan.orderBy(*order) if order else plan).select(*self._named())
 
+    def decoded(self, decoders: Mapping | None = None) -> DataFrame:
+        """The request with its binary payloads as typed arrays; ``decoders`` replaces the known ones by column."""
+        known = DECODERS if decoders is None else {**DECODERS, **decoders}
+        # Two tables may share a column name; both are decoded alike.
+        return decode(self.build(), {n: known[c] for n, (_, c) in zip(self.names, self.columns) if c in known})
+
     def count_frame(self) -> DataFrame:
         """Row count of the request including limit and offset, as a one-row DataFrame."""
         left = F.greatest(F.count("*") - F.lit(self.offset), F.lit(0))
