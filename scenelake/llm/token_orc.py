@@ -43,7 +43,7 @@ VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
 REMEMBERED = 700_000  # words a worker remembers (some 150 MB); then it starts anew
 AT_ONCE = 20_000  # words encoded in one call
-GATHERED = 6 << 20  # bytes of text whose words are looked up together
+GATHERED = 12 << 20  # bytes of text whose words are looked up together
 STRIPE_BYTES = 32 << 20
 # What Unicode or Python counts as white space.
 _WHITE = r"\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"

@@ -52,7 +52,7 @@ def test_all_blanks():
     """Random texts over every blank of Unicode and Python, beside words, marks and the added token."""
     draw = random.Random(11)
     blanks = [chr(c) for c in range(0x110000) if chr(c).isspace()] + ["\u180e", "\u200b", "\ufeff"]
-    others = ["a", "word", "'s", "12", ".", "é", "日", "🙂", "<|endoftext|>", "$"]
+    others = ["a", "word", "'s", "12", ".", "é", "日", "🙂", "<|endoftext|>", "$", "\n", "'", "'ll", "\u0301"]
     for added in (True, False):
         encoder, tokenizer = token_orc.Encoder(PATH, added), Tokenizer.from_file(PATH)
         tokenizer.encode_special_tokens = not added
