@@ -9,7 +9,8 @@ from workload.registry import table
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 PYTHON_NODES = ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "MapInArrow", "FlatMapGroupsInPandas")
-USES_PYTHON = {"fps", "downsample", "explode_sweeps"}
+# Decoders and a user's own function are Python by nature.
+USES_PYTHON = {"fps", "downsample", "explode_sweeps", "request_decoded", "request_transform"}
 EAGER = {n for n in QUERIES if n.startswith("stream_")}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
@@ -33,14 +34,13 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert schema.startswith("struct<l_quantity:double,l_linestatus:string>")
 
 
-def test_payload_columns_stay_out_of_the_numbering(spark, monkeypatch):
+def test_payload_columns_stay_out_of_the_page(spark, monkeypatch):
     import scenelake.plans.query as module
 
-    numbered = []
-    index = module.ordered_index
-    monkeypatch.setattr(module, "ordered_index", lambda df, order: numbered.append(df.dtypes) or index(df, order))
+    paged, selection = [], module.Selection
+    monkeypatch.setattr(module, "Selection", lambda df, order: paged.append(df.dtypes) or selection(df, order))
     assert "image" in QUERIES["late_payload"](spark, SF)._jdf.queryExecution().analyzed().toString()
-    assert len(numbered) == 1 and not any("array" in kind for _, kind in numbered[0])
+    assert len(paged) == 1 and not any("array" in kind for _, kind in paged[0])
 
 
 @pytest.mark.parametrize("name", ["points_in_box", "sibling_fanout", "token_lookup", "upsert_last", "cascade_rows"])
