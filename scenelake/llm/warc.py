@@ -17,6 +17,17 @@ A record of type ``response`` holds an HTTP header and the payload, one of type
 ``revisit`` only the HTTP header, whose Content-Length is the payload's length,
 and the record it repeats.
 
+Headers keep URIs as they are, percent codes too; only line ends, which would
+end the header, are written as ``%0D`` and ``%0A`` and read as such. Blanks
+around a URI are not kept. Record names stand in angle brackets in the archive
+and without them in the columns.
+
+Defined cases: null names and URIs have no header and are read as null; a null
+payload is an empty one; repeated rows are repeated records; a row without a
+record type is a record without one; an empty table writes no file, and an
+archive without files, or no folder, has no rows. Extra columns are ignored.
+A payload is held whole, by one task at a time; unwanted ones are never inflated.
+
 Writers put files into a staging folder; the driver moves them at commit, so a
 repeated or failed task leaves nothing behind in the archive.
 """
@@ -61,31 +72,40 @@ LEAST_REVISIT = 100  # bytes below which a repeated payload is stored again
 DATE = "1970-01-01T00:00:00Z"  # archives of the same table are the same bytes
 _VERSION = b"WARC/1.1\r\n"
 _END = b"\r\n\r\n"
-_READ = 1 << 16
+_READ = 1 << 16  # bytes read at a time of a wanted payload
+_FIRST = 1 << 11  # bytes read at a time of headers
+_STEP = 1 << 9  # bytes inflated at a time of headers
 
 
 # --- records -------------------------------------------------------------------------------------------------------
 
 
-def _clean(value: str) -> str:
-    """A header value on one line."""
-    return value.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")
+def _one_line(value: str) -> str:
+    """A header value as it is; line ends, which no URI may hold, become their percent codes."""
+    return value.replace("\r", "%0D").replace("\n", "%0A")
 
 
-def _plain(value: str) -> str:
-    return value.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
+def _name(value: str) -> str:
+    """A record's name without the brackets that archives put around it."""
+    return value[1:-1] if value.startswith("<") and value.endswith(">") else value
 
 
 def record_bytes(
-    record_id: str | None, kind: str, uri: str | None, refers_to: str | None, digest: str, length: int, payload: bytes
+    record_id: str | None, kind: str | None, uri: str | None, refers_to: str | None, digest: str, length: int, payload: bytes
 ) -> bytes:
     """One record as WARC bytes; a revisit leaves its payload out."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {length}\r\n\r\n".encode()
-    block = http + (payload if kind == "response" else b"")
-    head = [("WARC-Type", kind), ("WARC-Date", DATE), ("WARC-Payload-Digest", f"sha256:{digest}")]
-    for name, value in (("WARC-Record-ID", record_id), ("WARC-Target-URI", uri), ("WARC-Refers-To", refers_to)):
+    block = http + (b"" if kind == "revisit" else payload)
+    head = [("WARC-Date", DATE), ("WARC-Payload-Digest", f"sha256:{digest}")]
+    if kind is not None:
+        head.insert(0, ("WARC-Type", kind))
+    for name, value, form in (
+        ("WARC-Record-ID", record_id, "<{}>"),
+        ("WARC-Target-URI", uri, "{}"),
+        ("WARC-Refers-To", refers_to, "<{}>"),
+    ):
         if value is not None:
-            head.append((name, _clean(value)))
+            head.append((name, form.format(_one_line(value))))
     if kind == "revisit":
         head.append(("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))
     head += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
@@ -103,20 +123,17 @@ def member(data: bytes) -> bytes:
 
 
 class _Inflated:
-    """Reads members of a gzip file one after another, and skips the rest of a member where its length is known."""
+    """Reads members of a gzip file one after another, and skips the rest of a member where its length is known.
 
-    def __init__(self, raw):
-        self.raw, self.at, self.left = raw, 0, b""
+    No more is inflated than was asked for, but for ``_STEP`` bytes at least at a time.
+    """
 
-    def _fill(self) -> bytes:
-        got = self.left or self.raw.read(_READ)
-        self.left = b""
-        return got
+    def __init__(self, raw):
+        self.raw, self.at = raw, 0
 
     def open(self) -> bool:
         """Whether there is another member."""
         self.raw.seek(self.at)
-        self.left = b""
         head = self.raw.read(24)
         if not head:
             return False
@@ -128,12 +145,16 @@ class _Inflated:
         return True
 
     def need(self, n: int) -> None:
+        """Inflate until ``n`` bytes are there or the member ends."""
         while len(self.out) < n and not self.box.eof:
-            got = self._fill()
+            missing = n - len(self.out)
+            got = self.box.unconsumed_tail
+            if not got:
+                got = self.raw.read(_READ if missing > _FIRST else _FIRST)
+                self.taken += len(got)
             if not got:
                 raise EOFError("a WARC member ends early")
-            self.taken += len(got)
-            self.out += self.box.decompress(got)
+            self.out += self.box.decompress(got, max(missing, _STEP))
 
     def head(self) -> bytes:
         """Up to and without the blank line after the headers."""
@@ -159,7 +180,7 @@ class _Inflated:
             return
         while not self.box.eof:
             self.out.clear()
-            self.need(1)
+            self.need(_READ)
         self.at += self.taken - len(self.box.unused_data)
 
 
@@ -195,7 +216,7 @@ def _headers(head: bytes) -> dict[str, str]:
     lines = head.decode("utf-8", "replace").split("\r\n")
     if not lines[0].startswith("WARC/"):
         raise ValueError(f"not a WARC record: {lines[0][:40]!r}")
-    return {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:])}
+    return {k.strip().lower(): v.strip(" \t") for k, _, v in (line.partition(":") for line in lines[1:])}
 
 
 def _front(reader: _Inflated | _Stored, length: int) -> int:
@@ -216,12 +237,12 @@ def read_file(raw, gzipped: bool, wanted, with_payload: bool = True) -> Iterator
         length = int(head.get("content-length", 0))
         if not gzipped:
             reader.length = length
-        plain = lambda name: _plain(head[name]) if name in head else None
+        named = lambda key: _name(head[key]) if key in head else None
         values = {
-            "record_id": plain("warc-record-id"),
+            "record_id": named("warc-record-id"),
             "record_type": head.get("warc-type"),
-            "target_uri": plain("warc-target-uri"),
-            "refers_to": plain("warc-refers-to"),
+            "target_uri": head.get("warc-target-uri"),
+            "refers_to": named("warc-refers-to"),
             "payload_digest": head.get("warc-payload-digest", "").partition(":")[2] or None,
         }
         if wanted(values):

@@ -49,7 +49,7 @@ def test_round_trip(spark, archive):
 
 def test_records_keep_urls_and_payloads(spark, archive):
     rows = {r.record_id: r for r in spark.read.format("warc").load(archive).collect()}
-    assert rows["urn:page:1"].target_uri == PAGES[0][1] and rows["urn:page:0"].target_uri is None
+    assert rows["urn:page:1"].target_uri == "http://a/%41%0D%0AX: y" and rows["urn:page:0"].target_uri is None
     assert bytes(rows["urn:page:9"].payload).decode() == PAGES[-1][2] and rows["urn:page:2"].payload is None
 
 
@@ -138,3 +138,43 @@ def test_lengths_of_foreign_blocks():
         assert [r[5] for r in warc.read_file(full, gzipped, lambda v: True)] == [n for n, _ in got]
         if pack is not gzip.compress:
             assert raw.taken < full.taken
+
+
+def test_small_unwanted_payloads_are_not_inflated(monkeypatch):
+    import random
+
+    inflated = 0
+    need = warc._Inflated.need
+
+    def counted(self, n):
+        nonlocal inflated
+        before = len(self.out)
+        need(self, n)
+        inflated += len(self.out) - before
+
+    monkeypatch.setattr(warc._Inflated, "need", counted)
+    texts = [("".join(random.Random(i).choices("abcdefgh ", k=5000))).encode() for i in range(50)]
+    data = b"".join(warc.member(warc.record_bytes(f"r{i}", "response", "u", None, "d", len(x), x)) for i, x in enumerate(texts))
+    raw = Counting(data)
+    got = list(warc.read_file(raw, True, lambda v: v["record_id"] == "r7"))
+    assert [r[-1] for r in got] == [texts[7]]
+    assert inflated < 50 * 1100 + 6000
+    inflated = 0
+    assert len(list(warc.read_file(Counting(data), True, lambda v: True))) == 50 and inflated > 50 * 5000
+
+
+def test_uris_and_names_as_archives_write_them():
+    uri = "http://a/b%20c?100%25&q=%0A \u00a0"
+    data = warc.record_bytes("urn:x:1", "revisit", uri, "urn:x:0", "d", 0, b"")
+    assert b"WARC-Record-ID: <urn:x:1>\r\n" in data and b"WARC-Refers-To: <urn:x:0>\r\n" in data
+    assert f"WARC-Target-URI: {uri}\r\n".encode() in data
+    for gzipped, pack in ((True, warc.member), (True, gzip.compress), (False, bytes)):
+        ((name, _, target, refers, *_),) = warc.read_file(Counting(pack(data)), gzipped, lambda v: True)
+        assert (name, target, refers) == ("urn:x:1", uri, "urn:x:0")
+    foreign = data.replace(b"<urn:x:1>", b"urn:x:1")
+    assert next(warc.read_file(Counting(foreign), False, lambda v: True))[0] == "urn:x:1"
+
+
+def test_record_of_nothing():
+    data = warc.record_bytes(None, None, None, None, "d", 2, b"ab")
+    assert next(warc.read_file(Counting(warc.member(data)), True, lambda v: True)) == (None, None, None, None, "d", 2, b"ab")
