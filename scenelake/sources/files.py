@@ -8,9 +8,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from scenelake.functions import paths
-from scenelake.operators.lookup import require
+from scenelake.sources.jsonlist import open_file
+
+BLOB_BYTES = 32 << 20
 
 
 def list_files(spark: SparkSession, root: str, extension: str) -> DataFrame:
@@ -33,29 +36,62 @@ def split_files(spark: SparkSession, root: str, extension: str) -> DataFrame:
     )
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its file system, as Spark itself would resolve it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+
+
+def _with_contents(root: str, extension: str, column: str, strict: bool, batch_bytes: int):
+    """Adds each row's file to batches of narrow rows; what a batch holds is bounded by bytes, or is one file."""
+    ending = "." + extension.lstrip(".")
+
+    def contents(name: str | None) -> bytes | None:
+        try:
+            if name is not None and name.endswith(ending):
+                with open_file(f"{root}/{name}") as file:
+                    return file.read()
+        except FileNotFoundError:
+            pass
+        if strict:
+            raise FileNotFoundError(f"unknown file: {name}")
+        return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, size, start = [], 0, 0
+            for name in batch.column("filename").to_pylist():
+                held.append(contents(name))
+                size += len(held[-1] or b"")
+                if size >= batch_bytes or start + len(held) == batch.num_rows:
+                    rows = batch.slice(start, len(held))
+                    yield pa.RecordBatch.from_arrays(
+                        [*rows.columns, pa.array(held, pa.binary())], names=[*rows.schema.names, column]
+                    )
+                    held, size, start = [], 0, start + len(held)
+
+    return run
+
+
 def attach_blobs(
-    spark: SparkSession, metadata: DataFrame, root: str, extension: str, column: str = "image", strict: bool = True
+    spark: SparkSession,
+    metadata: DataFrame,
+    root: str,
+    extension: str,
+    column: str = "image",
+    strict: bool = True,
+    batch_bytes: int = BLOB_BYTES,
 ) -> DataFrame:
-    """Join file contents onto metadata rows by their ``filename`` relative to ``root``.
+    """Add the contents of each row's file, named by ``filename`` relative to ``root``.
 
-    A row without a file fails the job; lenient mode leaves its contents NULL.
+    Tasks open the named files and no others; only the narrow rows are dealt to
+    them, no contents are shuffled. A row without a file fails the job; lenient
+    mode leaves its contents NULL.
     """
-    blobs = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", "*." + extension.lstrip("."))
-        .option("recursiveFileLookup", True)
-        .load(root)
-        .select("path", F.col("content").alias(column))
-    )
-    # The listing reports full URIs, the metadata the part below the root.
-    base = root.rstrip("/") + "/"
-    relative = F.regexp_replace("path", f"^.*?{_literal(base)}", "")
-    named = blobs.withColumn("filename", relative).drop("path")
-    return require(metadata, named, "filename", "file") if strict else metadata.join(named, "filename", "left")
-
-
-def _literal(text: str) -> str:
-    return r"\Q" + text + r"\E"
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    schema = StructType([*metadata.schema.fields, StructField(column, BinaryType())])
+    read = _with_contents(qualified(spark, root).rstrip("/"), extension, column, strict, batch_bytes)
+    return metadata.repartition(tasks, "filename").mapInArrow(read, schema)
 
 
 def sidecars(labels: DataFrame, listing: DataFrame, path: str = "path") -> DataFrame:

@@ -24,6 +24,7 @@ from scenelake.operators.geometry import move_cloud
 from scenelake.operators.lookup import require
 from scenelake.plans.ordered import ranked
 from scenelake.session import materialise
+from scenelake.sources.jsonlist import read_json_list
 
 # Only the fields the flattening reads.
 TOKEN_TABLES = {
@@ -60,8 +61,8 @@ SPLIT_NAMES = {"train": "training", "val": "validation"}
 
 
 def read_tokens(spark: SparkSession, root: str, table: str) -> DataFrame:
-    """One token table; each file is a JSON list, so a version folder per file parallelises the read."""
-    return spark.read.schema(TOKEN_TABLES[table]).option("multiLine", True).json(f"{root.rstrip('/')}/{table}.json")
+    """One token table; its JSON list is cut into byte ranges, so one large file is read by many tasks."""
+    return read_json_list(spark, f"{root.rstrip('/')}/{table}.json", TOKEN_TABLES[table])
 
 
 def lookup(rows: DataFrame, key: str, table: DataFrame, *columns: str, strict: bool = True) -> DataFrame:

@@ -10,7 +10,7 @@ from workload.registry import table
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 PYTHON_NODES = ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "MapInArrow", "FlatMapGroupsInPandas")
 # Decoders and a user's own function are Python by nature.
-USES_PYTHON = {"fps", "downsample", "explode_sweeps", "request_decoded", "request_transform"}
+USES_PYTHON = {"fps", "downsample", "explode_sweeps", "request_decoded", "request_transform", "token_list"}
 EAGER = {n for n in QUERIES if n.startswith("stream_")}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
@@ -67,3 +67,9 @@ def test_rank_broadcasts_only_slice_carries(spark):
         assert "hashpartitioning(_slice" in text
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_profile_counts_flat_columns_from_footers(spark):
+    text = plan(QUERIES["catalog_columns"](spark, SF))
+    assert "PushedAggregation: [COUNT(o_orderkey), COUNT(o_custkey)" in text
+    assert "PushedAggregation: [COUNT(vec_id)]" in text and "PushedAggregation: [COUNT(vec_id), COUNT(emb" not in text

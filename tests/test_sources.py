@@ -5,6 +5,7 @@ import zlib
 from datetime import datetime, timezone
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ from scenelake import Catalog, SceneQuery, schemas
 from scenelake.session import materialise
 from scenelake.operators import labels as L
 from scenelake.operators import weather as W
-from scenelake.sources import batches, files, frames, ingest, payloads, tables, tokens
+from scenelake.sources import batches, files, frames, ingest, jsonlist, payloads, tables, tokens
 from tests.test_labels import UNIFIED
 
 IDS = {name: i for i, (name, _, _) in enumerate(UNIFIED)}
@@ -103,6 +104,23 @@ def test_listing_blobs_and_images(spark, tmp_path):
         files.attach_blobs(spark, meta, str(tmp_path), "jpg").collect()
 
 
+def test_only_named_files_are_opened(spark, tmp_path, monkeypatch):
+    for i in range(20):
+        (tmp_path / f"{i}.bin").write_bytes(bytes([i]) * (i * 100))
+    opened = []
+    monkeypatch.setattr(files, "open_file", lambda uri: opened.append(uri) or jsonlist.open_file(uri))
+    run = files._with_contents(f"file://{tmp_path}", "bin", "raw", True, 1000)
+    names = pa.RecordBatch.from_pydict({"uid": list(range(6)), "filename": [f"{i}.bin" for i in (3, 9, 9, 0, 19, 1)]})
+    out = list(run(iter([names])))
+    assert [r["raw"] for b in out for r in b.to_pylist()] == [bytes([i]) * (i * 100) for i in (3, 9, 9, 0, 19, 1)]
+    assert len(opened) == 6 and [b.num_rows for b in out] == [2, 3, 1]
+    meta = spark.createDataFrame([(i, f"{i}.bin") for i in range(20)], "uid INT, filename STRING")
+    got = files.attach_blobs(spark, meta, str(tmp_path), "bin", "raw", batch_bytes=500).collect()
+    assert sorted((r.uid, len(r.raw)) for r in got) == [(i, i * 100) for i in range(20)]
+    odd = spark.createDataFrame([(1, None), (2, "1.txt")], "uid INT, filename STRING")
+    assert [r.raw for r in files.attach_blobs(spark, odd, str(tmp_path), "bin", "raw", strict=False).collect()] == [None, None]
+
+
 def test_image_pixels(spark, tmp_path):
     (tmp_path / "i.png").write_bytes(png(np.array([[0, 51], [102, 255]]), [0, 0]))
     image = files.read_images(spark, str(tmp_path)).first()

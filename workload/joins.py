@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from scenelake.functions.dims import WMO_CODES
 from scenelake.operators import labeling, weather
 from scenelake.operators.labels import chain_maps
+from scenelake.session import shared_dir
 from scenelake.sources import files, tokens
+from scenelake.sources.jsonlist import read_json_list
 from scenelake.functions.sun import twilight
 from workload.registry import PLACES, place, query, table, view, view_sql
 from workload.sqlmath import sun_sql
@@ -29,6 +34,33 @@ def token_lookup(spark, sf_dir):
     return tokens.lookup(found, "log_token", logs, "location").drop("scene_token")
 
 
+def _token_list(df, path):
+    """Write one JSON list per partition, as token tables are stored; strings keep their quotes and brackets."""
+    row = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
+    spans = df.select(row.alias("row"), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("id"))
+    first, last = (F.col("id") == x("id").over(Window.partitionBy("part")) for x in (F.min, F.max))
+    lines = F.concat(F.when(first, "[\n").otherwise(",\n"), "row", F.when(last, "\n]").otherwise(""))
+    spans.withColumn("line", lines).sortWithinPartitions("part", "id").select("line").write.mode("overwrite").text(path)
+
+
+@query(
+    "token_list",
+    "SELECT event_id, user_id AS scene_token, event_type, props AS deep, c_name AS location "
+    "FROM events JOIN customer ON c_custkey = user_id",
+)
+def token_list(spark, sf_dir):
+    """Token tables stored as JSON lists, read in byte ranges and looked up."""
+    folder = f"{shared_dir(spark)}/token-lists/{uuid.uuid4().hex}"
+    events = table(spark, sf_dir, "events").selectExpr("event_id", "user_id AS scene_token", "event_type", "props AS deep")
+    logs = table(spark, sf_dir, "customer").selectExpr("c_custkey AS token", "c_name AS location")
+    _token_list(events, f"{folder}/sample.json")
+    _token_list(logs, f"{folder}/log.json")
+    read = lambda name, schema: read_json_list(spark, f"{folder}/{name}.json", schema, 1 << 18)
+    samples = read("sample", "event_id BIGINT, scene_token BIGINT, event_type STRING, deep STRING")
+    named = read("log", "token BIGINT, location STRING").withColumnRenamed("token", "scene_token")
+    return samples.join(named, "scene_token")
+
+
 _CHANNELS = [*tokens.CAMERA_CHANNELS, tokens.LIDAR_CHANNEL]
 
 

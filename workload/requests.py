@@ -8,6 +8,7 @@ from scenelake import Catalog, ForeignKey, SceneQuery
 from scenelake.operators.integrity import reference_report
 from scenelake.plans.query import get_field, set_field
 from scenelake.plans.scenarios import scenario_counts
+from scenelake.session import configure
 from workload.registry import query, table, view, view_sql
 
 STAR_TABLES = {
@@ -98,7 +99,8 @@ _PROFILE_SQL = " UNION ALL ".join(
 
 @query("catalog_columns", _PROFILE_SQL)
 def catalog_columns(spark, sf_dir):
-    return Catalog({t: table(spark, sf_dir, t) for t in ALL_TABLES}, STAR_TABLES, []).profile()
+    paths = {t: f"{sf_dir}/{t}.parquet" for t in ALL_TABLES}
+    return Catalog.of_parquet(configure(spark), paths, STAR_TABLES, []).profile()
 
 
 _REPORT_SQL = " UNION ALL ".join(
