@@ -6,8 +6,10 @@ Queries are packed into blocks. The bucket of the longest vectors gives every
 query a first threshold (its k-th best score there), which then prunes:
 
 * a bucket whose longest vector times the query's length stays below the
-  threshold is skipped (and a block is not sent to a bucket that all of its
-  queries skip);
+  threshold is skipped. As buckets go by falling length, those that a block
+  of queries needs are the first few: blocks and buckets are put into one order
+  of lengths, where a block's place tells its last bucket, so that no key but
+  the bucket's own brings them together;
 * inside a bucket the threshold becomes a local cosine threshold. Where that
   is high, candidates must lie in a narrow range on the query's two heaviest
   coordinates (coordinate pruning); where it is low, only the vectors long
@@ -16,7 +18,10 @@ query a first threshold (its k-th best score there), which then prunes:
 Surviving candidates are verified by exact integer products. No pair of rows
 is ever built; a task holds one bucket and one block at a time.
 
-Components become floor(1024 * x). Sums are exact while they fit 63 bits.
+Components become floor(1024 * x). Sums are exact while they fit 63 bits; a
+finite vector so long that its product with itself would not (a length above
+some 2.96 million before scaling) fails the job by its vec_id, as it must not be
+lost. The session's Arrow settings are as before after a call.
 
 Defined cases: vectors that are null, empty or hold a null or non-finite
 component take no part; vectors of different dimension are never compared;
@@ -35,6 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from scenelake.llm.common import arrow_rows
 from scenelake.plans.ordered import ordered_index
 from scenelake.session import materialise
 
@@ -44,6 +50,7 @@ BLOCK = 256
 ARROW_VECTORS = 2000  # single vectors per Arrow batch
 PAIRS_AT_ONCE = 8  # bucket and block pairs per Arrow batch
 STEEP = 0.3  # local cosine threshold above which coordinates prune better than lengths
+_LONGEST = 2.0**63 * (1 - 1e-9)  # squared length below which every sum fits
 _SLACK = 1e-9  # rounding of the bounds, relative
 
 
@@ -58,6 +65,8 @@ def _quantised(scale: int):
                 if not np.isfinite(x).all():
                     continue
                 q = np.floor(scale * x)
+                if np.dot(q, q) >= _LONGEST:
+                    raise ValueError(f"vector {vec_id} is too long for scores of 63 bits")
                 ids.append(vec_id)
                 dims.append(len(q))
                 norms.append(float(np.sqrt(np.dot(q, q))))
@@ -192,6 +201,33 @@ def _bucket_best(k: int):
     return run
 
 
+def _needed(told: DataFrame, buckets: DataFrame) -> DataFrame:
+    """dim, block, bucket: the buckets long enough for a query of the block.
+
+    Decided on one length per bucket and one per block. In falling order of
+    both, a block stands behind exactly the buckets it needs.
+    """
+    longest = buckets.select("dim", "bucket", F.element_at("bucket_norms", 1).alias("_length"))
+    numbered, _ = ordered_index(longest, [F.col("dim"), F.col("bucket")], "_number")
+    # The least length any query of the block can use.
+    least = F.transform(
+        F.arrays_zip("block_norms", "theta"),
+        lambda x: F.when(x["theta"] <= 0, 0.0).otherwise(F.try_divide(x["theta"] * (1 - _SLACK), x["block_norms"])),
+    )
+    ends = told.select("dim", "block", F.array_min(least).alias("_length"))
+    order = [F.col("dim"), F.col("_length").desc(), F.col("bucket").asc_nulls_last(), F.col("block")]
+    empty = F.lit(None).cast("long")
+    both = longest.withColumn("block", empty).unionByName(ends.withColumn("bucket", empty))
+    among_both, _ = ordered_index(both, order, "_at")
+    among_blocks, _ = ordered_index(ends.withColumn("bucket", empty), order, "_of_blocks")
+    before = among_both.where("block IS NOT NULL").join(among_blocks.select("dim", "block", "_of_blocks"), ["dim", "block"])
+    starts = numbered.groupBy("dim").agg(F.min("_number").alias("_start"))
+    last = F.col("_at") - F.col("_of_blocks") - 1
+    reach = before.join(starts, "dim").where(last >= F.col("_start"))
+    pairs = reach.select("dim", "block", F.explode(F.sequence(F.col("_start"), last)).alias("_number"))
+    return pairs.join(numbered.select("bucket", "_number"), "_number").select("dim", "block", "bucket")
+
+
 def top_k(
     vectors: DataFrame, is_query, k: int = 10, scale: int = SCALE, bucket: int = BUCKET, block: int = BLOCK
 ) -> DataFrame:
@@ -200,37 +236,34 @@ def top_k(
     ``is_query`` is a condition on vec_id.
     """
     spark = vectors.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_VECTORS))
-    whole = materialise(quantised(vectors, scale))
-    ordered, _ = ordered_index(whole, [F.col("dim"), F.col("norm").desc(), F.col("vec_id")], "_pos")
+    by_norm = [F.col("dim"), F.col("norm").desc(), F.col("vec_id")]
+    with arrow_rows(spark, ARROW_VECTORS):
+        whole = materialise(quantised(vectors, scale))
+    ordered, _ = ordered_index(whole, by_norm, "_pos")
     # A bucket holds one dimension; where two meet, the bucket number is shared but the key is not.
     buckets = materialise(_packed(ordered.withColumn("bucket", F.floor(F.col("_pos") / bucket)), "bucket"))
-    chosen, _ = ordered_index(
-        whole.where(is_query).dropDuplicates(["vec_id", "q"]),
-        [F.col("dim"), F.col("norm").desc(), F.col("vec_id")],
-        "_pos",
-    )
+    chosen, _ = ordered_index(whole.where(is_query).dropDuplicates(["vec_id", "q"]), by_norm, "_pos")
     blocks = materialise(_packed(chosen.withColumn("block", F.floor(F.col("_pos") / block)), "block"))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(PAIRS_AT_ONCE))
 
+    # The first bucket of a dimension meets all of its blocks, so it is copied for as many groups of blocks as there are tasks.
+    groups = int(spark.conf.get("spark.sql.shuffle.partitions"))
     longest = buckets.groupBy("dim").agg(F.min("bucket").alias("bucket"))
-    first = buckets.join(longest, ["dim", "bucket"])
-    theta = materialise(
-        blocks.join(first, "dim").select("dim", "block", "block_ids", "block_q", "bucket_ids", "bucket_q").mapInArrow(
-            _first_thresholds(k), "dim int, block long, theta array<double>"
+    first = buckets.join(longest, ["dim", "bucket"]).withColumn("_group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    grouped = blocks.withColumn("_group", (F.col("block") % groups).cast("int"))
+    with arrow_rows(spark, PAIRS_AT_ONCE):
+        theta = materialise(
+            grouped.join(first, ["dim", "_group"])
+            .select("dim", "block", "block_ids", "block_q", "bucket_ids", "bucket_q")
+            .mapInArrow(_first_thresholds(k), "dim int, block long, theta array<double>")
+        )
+        told = blocks.join(theta, ["dim", "block"])
+        found = materialise(
+            _needed(told, buckets)
+            .join(told, ["dim", "block"])
+            .join(buckets, ["dim", "bucket"])
+            .select("block", "block_ids", "block_norms", "block_q", "theta", "bucket_ids", "bucket_norms", "bucket_q")
+            .mapInArrow(_bucket_best(k), "query_id long, number long, vec_id long, score long")
         )
-    )
-    told = blocks.join(theta, ["dim", "block"])
-    # Which block must see which bucket is decided on two numbers per query and one per bucket.
-    reach = buckets.select("dim", "bucket", F.element_at("bucket_norms", 1).alias("_longest"))
-    needs = F.exists(
-        F.arrays_zip("block_norms", "theta"),
-        lambda x: (x["theta"] <= 0) | (x["block_norms"] * F.col("_longest") >= x["theta"] * (1 - _SLACK)),
-    )
-    pairs = told.join(reach, "dim").where(needs).drop("_longest")
-    found = pairs.join(buckets, ["dim", "bucket"]).select(
-        "block", "block_ids", "block_norms", "block_q", "theta", "bucket_ids", "bucket_norms", "bucket_q"
-    ).mapInArrow(_bucket_best(k), "query_id long, number long, vec_id long, score long")
     by_query = Window.partitionBy("query_id", "number").orderBy(F.col("score").desc(), "vec_id")
     return (
         found.withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k)

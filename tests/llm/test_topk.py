@@ -60,3 +60,39 @@ def test_pruning_keeps_every_candidate():
         theta = float(np.sort(s)[-draw.integers(1, 30)])
         keep = topk.candidates(q, float(np.sqrt(q @ q)), theta, p, norms)
         assert set(np.flatnonzero(s >= theta)) <= set(keep.tolist())
+
+
+def test_settings_come_back_and_long_vectors_are_told(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    rows = [(0, [2.0e6, 1.0]), (1, [-2.0e6, 2.0e6]), (2, [0.5, 0.5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = topk.top_k(df, F.col("vec_id") >= 0, k=2, bucket=2, block=1).collect()
+    assert sorted(map(tuple, got)) == sorted(brute(rows, lambda i: True, 2)) and spark.conf.get(key) == before
+    huge = spark.createDataFrame([*rows, (3, [1e30, 0.0])], "vec_id long, embedding array<float>")
+    with pytest.raises(Exception, match="vector 3 is too long"):
+        topk.top_k(huge, F.col("vec_id") >= 0).collect()
+    assert spark.conf.get(key) == before
+
+
+def test_needed_buckets_are_those_long_enough(spark):
+    draw = np.random.default_rng(8)
+    buckets, blocks, want = [], [], set()
+    number = 0
+    for dim in (2, 5, 9):
+        lengths = sorted(np.round(draw.uniform(0, 4, 30), 1).tolist(), reverse=True)
+        buckets += [(dim, number + i, [x, 0.0]) for i, x in enumerate(lengths)]
+        for block in range(20):
+            norms, theta = np.round(draw.uniform(0, 2, 3), 1).tolist(), np.round(draw.uniform(-1, 9, 3), 1).tolist()
+            theta = [t if n else min(t, 0.0) for n, t in zip(norms, theta)]
+            blocks.append((dim, block, norms, theta))
+            for i, x in enumerate(lengths):
+                if any(t <= 0 or n * x >= t * (1 - 1e-9) for n, t in zip(norms, theta)):
+                    want.add((dim, block, number + i))
+        number += len(lengths) - 1
+    got = topk._needed(
+        spark.createDataFrame(blocks, "dim int, block long, block_norms array<double>, theta array<double>"),
+        spark.createDataFrame(buckets, "dim int, bucket long, bucket_norms array<double>"),
+    )
+    pairs = [tuple(r) for r in got.collect()]
+    assert len(pairs) == len(set(pairs)) and set(pairs) == want and len(want) > 300
