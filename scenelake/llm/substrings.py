@@ -54,7 +54,6 @@ LAST = (1 << 63) - 1  # stands for a null doc_id
 _U = np.uint64
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
-_POWERS = np.multiply.accumulate(np.full(1 << 16, 0x9E3779B97F4A7C15, _U))
 
 
 def lengths(window: int, base: int = BASE) -> list[int]:
@@ -74,6 +73,15 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+def _letters(letter: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """A number of its own for every letter at every place; no sum of them is bound to another's by a rule."""
+    return _mix(_mix(place.astype(_U) * _U(0x9E3779B97F4A7C15) + _U(0xC2B2AE3D27D4EB4F)) + letter.astype(_U))
+
+
+_NEAR = 64  # places whose numbers are looked up; those further on are computed
+_TABLE = _letters(np.tile(np.arange(256), _NEAR), np.repeat(np.arange(_NEAR), 256))
+
+
 class Words:
     """Words of a batch of texts: where they are, what they hash to, which text they are in."""
 
@@ -104,12 +112,15 @@ class Words:
             to = max(at + 1, int(np.searchsorted(self.start, self.start[at] + SLICE)))
             a, b = self.start[at], self.end[to - 1]
             size = self.end[at:to] - self.start[at:to]
-            letters = self.data[a:b][inside[a:b]].astype(_U) + _U(1)
+            letters = self.data[a:b][inside[a:b]]
             first = np.cumsum(size) - size
             place = np.arange(len(letters)) - np.repeat(first, size)
-            terms = letters * _POWERS[place & 0xFFFF]
-            if size.max() > 1 << 16:
-                terms *= (2 * (place >> 16) + 1).astype(_U)
+            if size.max() <= _NEAR:
+                terms = _TABLE[(place << 8) | letters]
+            else:
+                terms = _TABLE[(np.minimum(place, _NEAR - 1) << 8) | letters]
+                far = np.flatnonzero(place >= _NEAR)
+                terms[far] = _letters(letters[far], place[far])
             out[at:to] = _mix(np.add.reduceat(terms, first) ^ (size.astype(_U) * _U(0xC2B2AE3D27D4EB4F)))
             at = to
         return out

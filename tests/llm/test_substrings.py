@@ -78,3 +78,24 @@ def test_words_and_hashes(monkeypatch):
 def test_levels():
     assert substrings.lengths(13) == [7, 13] and substrings.lengths(50) == [7, 13, 25, 50] and substrings.lengths(5) == [5]
     assert substrings.smallest(np.array([3, 1, 2, 5, 4]), 3).tolist() == [1, 1, 2]
+
+
+def test_long_words_that_differ_by_a_pattern():
+    """Sums of letters times powers of one number agree on these two words; they are different words."""
+    bits = [bin(i).count("1") % 2 for i in range(1 << 11)]
+    pair = ["".join("ab"[b ^ turn] for b in bits) for turn in (0, 1)]
+    common = " ".join(f"w{i}" for i in range(12))
+    words = substrings.Words(pa.array([f"{common} {p}" for p in pair]))
+    first, second = words.hash[:13], words.hash[13:]
+    assert np.array_equal(first[:12], second[:12]) and first[12] != second[12]
+    assert words.windows(13)[0] != words.windows(13)[13]
+
+
+def test_hash_is_of_letters_and_places_only():
+    import random
+
+    draw = random.Random(5)
+    made = ["".join(draw.choices("abé.", k=draw.choice([1, 2, 63, 64, 65, 130, 900]))) for _ in range(400)]
+    together = substrings.Words(pa.array([" ".join(made)])).hash
+    alone = np.concatenate([substrings.Words(pa.array([w])).hash for w in made])
+    assert np.array_equal(together, alone) and len(set(together.tolist())) == len(set(made))
