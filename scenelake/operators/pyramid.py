@@ -10,6 +10,8 @@ wholly outside ends there, and only nodes on the box's border go on to their
 children; points are tested in border blocks alone. So the work grows with a box's
 border, not with what it holds.
 
+That border is wide where many boxes crowd a sweep, so boxes of a sweep that share a yaw go to ``ranks``.
+
 The test of a corner is the test of a point, and each of its steps is monotonic
 in the point's coordinates, rounding included. Where all corners of a node
 pass (or all fail on one side), so do all its points: counts are exact.
@@ -22,6 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scenelake.operators import ranks
 from scenelake.session import materialise
 
 BLOCK_BITS = 6
@@ -127,7 +130,10 @@ def _sized(boxes: DataFrame, sweep: str) -> DataFrame:
 
 def descend(blocks: DataFrame, levels: list[DataFrame], boxes: DataFrame, sweep: str) -> tuple[list[DataFrame], DataFrame]:
     """What whole nodes add per box, level by level, and the (box, block) pairs on borders."""
-    sized = _sized(boxes, sweep)
+    return _descend(levels, _sized(boxes, sweep), sweep)
+
+
+def _descend(levels: list[DataFrame], sized: DataFrame, sweep: str) -> tuple[list[DataFrame], DataFrame]:
     kept, added, pairs = sized.columns, [], None
     for depth, level in enumerate(reversed(levels)):
         if not depth:
@@ -146,10 +152,27 @@ def points_in_boxes(points: DataFrame, boxes: DataFrame, sweep: str = "lidar_uid
 
     ``points`` has (sweep, x, y, z); ``boxes`` has (sweep, box_idx, x, y, z,
     length, width, height, yaw in radians). Points and boxes with a null in
-    them hold and are held by nothing.
+    them hold and are held by nothing. Where many boxes of a sweep share a yaw,
+    they are counted by ranks (``ranks``), all others by the pyramid.
     """
+    sized = _sized(boxes, sweep)
+    turns = ranks.shared_turns(points, sized, sweep)
+    parts = []
+    if not turns.isEmpty():
+        alike, sized = ranks.divide(sized, turns, sweep)
+        parts.append(ranks.count(points, alike, turns, sweep))
+        sized = materialise(sized)
+        points = points.join(sized.select(sweep).distinct(), sweep, "left_semi")
+    if not parts or not sized.isEmpty():
+        parts += _by_pyramid(points, sized, sweep)
+    together = reduce(DataFrame.unionByName, parts)
+    return together.groupBy(sweep, "box_idx").agg(F.sum("_n").cast("long").alias("points_in_box"))
+
+
+def _by_pyramid(points: DataFrame, sized: DataFrame, sweep: str) -> list[DataFrame]:
+    """(sweep, box_idx, _n), in parts to be summed."""
     blocks = blocks_of(points, sweep)
-    added, border = descend(blocks, levels_above(blocks, sweep), boxes, sweep)
+    added, border = _descend(levels_above(blocks, sweep), sized, sweep)
     tested = (
         border.join(blocks.select(sweep, "_node", "_points"), [sweep, "_node"])
         .select(*border.columns, F.inline("_points"))
@@ -157,5 +180,4 @@ def points_in_boxes(points: DataFrame, boxes: DataFrame, sweep: str = "lidar_uid
         .groupBy(sweep, "box_idx")
         .agg(F.count("*").alias("_n"))
     )
-    together = reduce(DataFrame.unionByName, added, tested)
-    return together.groupBy(sweep, "box_idx").agg(F.sum("_n").cast("long").alias("points_in_box"))
+    return [*added, tested]
