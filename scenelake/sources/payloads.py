@@ -9,7 +9,7 @@ from __future__ import annotations
 import io
 import struct
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -23,6 +23,9 @@ _FLAT = T.StructType(
     [T.StructField("shape", T.ArrayType(T.IntegerType())), T.StructField("data", T.ArrayType(T.FloatType()))]
 )
 
+DECODED = 1 << 23  # bytes of decoded values sent back at a time; a larger payload goes alone
+_ROWS = 10_000
+
 
 def _unfilter(rows: np.ndarray, filters: np.ndarray) -> np.ndarray:
     """Undo PNG scanline filters of an 8-bit gray image, a run of scanlines at a time."""
@@ -95,16 +98,29 @@ def _decode_label_file(data: bytes) -> np.ndarray:
     return np.frombuffer(data, np.uint8)
 
 
+def _frames(arrays: Iterator[np.ndarray | None]) -> Iterator[pd.DataFrame]:
+    """Shapes and flat values, in frames of some ``DECODED`` bytes."""
+    shapes: list[np.ndarray | None] = []
+    values: list[np.ndarray | None] = []
+    held = 0
+    for array in arrays:
+        shapes.append(None if array is None else np.array(array.shape, np.int32))
+        values.append(None if array is None else array.ravel().astype(np.float32))
+        held += 0 if array is None else values[-1].nbytes
+        if held >= DECODED or len(values) >= _ROWS:
+            yield pd.DataFrame({"shape": shapes, "data": values})
+            shapes, values, held = [], [], 0
+    if values:
+        yield pd.DataFrame({"shape": shapes, "data": values})
+
+
 def _flattener(decode: Callable[[bytes], np.ndarray]) -> Callable[[Column], Column]:
+    """An Arrow batch is bounded by its payloads, which may be far smaller than what they decode to; so frames are cut anew."""
+
     @F.pandas_udf(_FLAT)
-    def flat(payloads: pd.Series) -> pd.DataFrame:
-        arrays = [None if b is None else decode(b) for b in payloads]
-        return pd.DataFrame(
-            {
-                "shape": [None if a is None else np.array(a.shape, np.int32) for a in arrays],
-                "data": [None if a is None else a.ravel().astype(np.float32) for a in arrays],
-            }
-        )
+    def flat(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for payloads in batches:
+            yield from _frames(None if b is None else decode(b) for b in payloads)
 
     return flat
 

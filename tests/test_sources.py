@@ -82,6 +82,40 @@ def test_payload_columns(spark):
     assert all(abs(sum(c) - 1) < 1e-6 for c in zip(*one.prediction))
 
 
+def test_decoded_frames_are_bounded(monkeypatch):
+    """However many payloads a batch has, few decoded bytes are held at a time; order, nulls and empty payloads stay."""
+    monkeypatch.setattr(payloads, "DECODED", 4000)
+    decoded = []
+
+    def arrays():
+        for i in range(1000):
+            decoded.append(i)
+            yield None if i % 7 == 0 else np.full(i % 5 * 50, i)
+
+    seen = 0
+    for frame in payloads._frames(arrays()):
+        assert sum(4 * len(v) for v in frame["data"] if v is not None) < 4000 + 4 * 200
+        assert len(decoded) == seen + len(frame)
+        for i, (shape, data) in enumerate(zip(frame["shape"], frame["data"]), seen):
+            assert data is None and shape is None if i % 7 == 0 else list(shape) == [len(data)] and (data == i).all()
+        seen += len(frame)
+    assert seen == 1000
+
+
+def test_columns_decoded_in_several_frames(spark):
+    """With more decoded bytes than one frame has; two payload columns side by side."""
+    side, n = 700, 12
+    rows = [(i, npy(np.full((side, 3), i)), None if i % 3 == 0 else bytes([i]) * (1 << 20)) for i in range(n)]
+    df = spark.createDataFrame(rows, "uid INT, points BINARY, marks BINARY").coalesce(1)
+    assert n * 2 / 3 * 4 * (1 << 20) > 3 * payloads.DECODED
+    decoders = {"points": payloads.DECODERS["points"], "marks": (payloads.flat_label_file, payloads.labels)}
+    out = payloads.decode(df, decoders).select(
+        "uid", F.size("points").alias("n"), F.col("points")[side - 1]["z"].alias("z"), F.size("marks").alias("m"), F.get("marks", 9).alias("mark")
+    )
+    want = [(i, side, float(i), None if i % 3 == 0 else 1 << 20, None if i % 3 == 0 else i) for i in range(n)]
+    assert [(r.uid, r.n, r.z, None if r.m == -1 else r.m, r.mark) for r in out.orderBy("uid").collect()] == want
+
+
 def test_empty_cloud(spark):
     df = spark.createDataFrame([(npy(np.zeros((0, 3))),)], "points BINARY")
     assert payloads.decode(df).first().points == []
