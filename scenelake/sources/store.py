@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from scenelake import schemas
 from scenelake.operators.lookup import require
-from scenelake.operators.upserts import insert_first, last_write, present, upsert_last
+from scenelake.operators.upserts import insert_first, present, upsert_last
 from scenelake.sources.ingest import LABEL_TABLES, shaped
 
 # Columns kept as pointers.
@@ -197,8 +197,9 @@ class SceneStore:
         # A payload is only looked at for being there.
         pointers = [F.when(F.col(c).isNotNull(), pointer).alias(_at(c)) for c in wide]
         plain = [c for c in own if c not in wide]
-        narrow = last_write(batch.select(*key, "seq", "_row", *plain, *pointers), key, "seq")
-        stored = self._touched(sensor, narrow, batch_id)
+        # The merge picks a key's last row; the partitions follow from the keys alone.
+        narrow = batch.select(*key, "seq", "_row", *plain, *pointers)
+        stored = self._touched(sensor, batch.select(*key), batch_id)
         start = self._next_uid(sensor, batch_id)
         merged = upsert_last(stored, narrow, key, "seq", [*plain, *map(_at, wide)], uid, start)
         written, out = self._written(merged, sensor, batch_id)
@@ -209,7 +210,11 @@ class SceneStore:
             labels = [c for c in WIDE[table] if c in values]
             marked = present(batch.select(*key, "seq", "_row", *labels), table)
             pointed = marked.select(*key, "seq", *[F.when(F.col(c).isNotNull(), pointer).alias(_at(c)) for c in labels])
-            pointed = pointed.join(uids, key).drop(*key)
-            merged = upsert_last(self._touched(table, pointed, batch_id), pointed, [uid], "seq", list(map(_at, labels)))
-            out += self._written(merged, table, batch_id)[1]
+            # Looked up once for the partitions it falls into and for the merge.
+            pointed = pointed.join(uids, key).drop(*key).persist()
+            try:
+                merged = upsert_last(self._touched(table, pointed, batch_id), pointed, [uid], "seq", list(map(_at, labels)))
+                out += self._written(merged, table, batch_id)[1]
+            finally:
+                pointed.unpersist()
         return out

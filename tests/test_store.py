@@ -84,6 +84,17 @@ def test_a_failed_batch_shows_nothing(spark, tmp_path, monkeypatch, step):
         )
 
 
+def test_a_batch_is_put_in_order_once_per_table(spark, tmp_path, monkeypatch):
+    from scenelake.operators import upserts
+
+    keys, whole = [], upserts._one_per_key
+    monkeypatch.setattr(upserts, "_one_per_key", lambda batch, key, *how, **named: keys.append(tuple(key)) or whole(batch, key, *how, **named))
+    store = SceneStore.create(spark, str(tmp_path))
+    store.store_batch(0, first_batch(spark))
+    assert keys == [("time", "location"), ("weather_uid", "camera_id"), ("camera_uid",)]
+    assert shown(store) == FIRST
+
+
 def size_of(root, batch):
     return sum(
         os.path.getsize(os.path.join(folder, f)) for folder, _, files in os.walk(root) for f in files if f"batch={batch}/" in f"{folder}/"
